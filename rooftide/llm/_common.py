@@ -32,11 +32,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: df as a table in the shared folder, which survives lost executors."""
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Cuts the lineage: df as a table in the shared folder, which survives lost executors. by: a column of folders."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*([by] if by else [])).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
