@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import NO_ID, SPACES, ascii_lower
+from ._common import NO_ID, SPACES, ascii_lower, materialize
 
 #: approx_top_k watches so many hashes; a hash counts as hot from this share of all lines on.
 HOT_KEYS, HOT_SHARE = 1000, 1 / 2000
@@ -36,6 +36,7 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .where("h IS NOT NULL")
         .select("id_key", "text_hash", "pos", "h.h1", "h.h2")
     )
+    lines = materialize(lines, "lines")  # hashes only; the passes below need not split the texts again
     top = lines.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h1, {HOT_KEYS}, {HOT_KEYS * 10})").alias("top")).first()
     hot = [x["item"] for x in top["top"] or [] if x["count"] >= max(64, top["n"] * HOT_SHARE)]
     by_key = Window.partitionBy("h1", "h2").orderBy("id_key", "pos")
