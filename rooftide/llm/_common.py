@@ -115,8 +115,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts, in order, and each text's number of words.
+def word_hashes(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, in order, and each text's number of words. With prefixes, a row for each
+    word: its own hash, then those of its beginnings of so many bytes.
 
     A word's polynomial hash is a difference of prefix sums, shifted back to place 0."""
     blob = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -126,7 +127,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = len(blob) + 1
     sums = np.zeros(n, np.uint64)
     np.cumsum((blob.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n)[: n - 1], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _powers(_BACK, n)[starts] + (ends - starts).astype(np.uint64))
+    shift, before = _powers(_BACK, n)[starts], sums[starts]
+    each = [mix((sums[to] - before) * shift + (to - starts).astype(np.uint64)) for to in (ends, *(np.minimum(ends, starts + p) for p in prefixes))]
+    hashes = np.stack(each, axis=1) if prefixes else each[0]
     bounds = np.cumsum([len(x) + 1 for x in texts])
     return hashes, np.diff(np.searchsorted(starts, bounds), prepend=0)
 

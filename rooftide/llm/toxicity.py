@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 from ._common import as_binary, text_chunks, word_hashes
 
-#: Buckets of words, sizes of an embedding, widths of the filters in words, filters of each width.
+#: Buckets of words and beginnings, sizes of an embedding, widths of the filters in words, filters of each width.
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 18, 8, (1, 2, 3), 8
+#: A word's embedding is the sum of its own and those of its beginnings of so many bytes.
+PREFIXES = (4, 5)
+PARTS = 1 + len(PREFIXES)
 #: The classifier is fitted on a sample of labelled rows: about so many of each label.
-SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 3000, 5000
+SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 3000, 4500
 EPOCHS, BATCH, RATE, DROP = 8, 32, 0.01, 0.3
 #: Every so many-th row of the sample only calibrates: the score of 0.5, and each language's threshold.
 CALIBRATE = 5
@@ -26,8 +29,9 @@ _CLEAN = _CLEAN.tobytes()
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words, punctuation aside, and each text's number of words. Bucket 0 pads."""
-    hashes, counts = word_hashes([x.lower().translate(_CLEAN) for x in texts])
+    """Buckets of all words and their beginnings, punctuation aside, and each text's number of words. Bucket 0 pads."""
+    hashes, counts = word_hashes([x.lower().translate(_CLEAN) for x in texts], PREFIXES)
+    hashes = hashes + np.arange(PARTS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return (hashes % np.uint64(BUCKETS - 1) + np.uint64(1)).astype(np.int32), counts
 
 
@@ -45,9 +49,9 @@ class Model:
         filter, so that no window reaches into the next text and an empty text has windows too."""
         pad = max(WIDTHS)
         starts = np.cumsum(counts + pad) - (counts + pad)
-        padded = np.zeros(int((counts + pad).sum()) + pad, np.int32)
+        padded = np.zeros((int((counts + pad).sum()) + pad, PARTS), np.int32)
         padded[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))] = ids
-        x = self.embeddings[padded]
+        x = sum(self.embeddings[padded[:, i]] for i in range(PARTS))
         tops, places = [], []
         n = len(padded) - pad
         owner = np.repeat(np.arange(len(counts)), counts + pad)
@@ -84,7 +88,7 @@ def _new(rng: np.random.Generator) -> Model:
 
 
 def _batch(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate(docs) if docs else np.zeros(0, np.int32), np.array([len(d) for d in docs])
+    return np.concatenate(docs) if docs else np.zeros((0, PARTS), np.int32), np.array([len(d) for d in docs])
 
 
 def train(docs: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator) -> Model:
@@ -116,10 +120,12 @@ def train(docs: list[np.ndarray], labels: np.ndarray, rng: np.random.Generator)
                 cols = slice(k * FILTERS, (k + 1) * FILTERS)
                 for j in range(w):
                     word = padded[places[:, cols] + j]
-                    x = m.embeddings[word]
+                    x = m.embeddings[word].sum(axis=2)
                     d_filters[k][j] = np.einsum("bfs,bf->sf", x, d_top[:, cols])
-                    touched.append(word.ravel())
-                    grads.append((d_top[:, cols, None] * m.filters[k][j].T[None]).reshape(-1, SIZE))
+                    grad = (d_top[:, cols, None] * m.filters[k][j].T[None]).reshape(-1, SIZE)
+                    for i in range(PARTS):
+                        touched.append(word[..., i].ravel())
+                        grads.append(grad)
             rows, place = np.unique(np.concatenate(touched), return_inverse=True)
             g = np.zeros((len(rows), SIZE), np.float32)
             np.add.at(g, place, np.concatenate(grads))
@@ -170,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
         m.out[:] = 0
         m.out[-1] = 3.0 if len(y) and y[0] == 1 else -3.0
         return m
-    ids = [np.frombuffer(r["ids"], np.int32) for r in found]
+    ids = [np.frombuffer(r["ids"], np.int32).reshape(-1, PARTS) for r in found]
     test = np.arange(len(ids)) % CALIBRATE == 0
     if len(set(y[test].tolist())) < 2:
         test[:] = False
