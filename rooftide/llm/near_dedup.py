@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     texts = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("id"), as_binary(text_col))
     full = (
         members.select("id", "component", "s1", "s2", (F.col("weight") > CLUSTER_SHINGLES).alias("large"))
-        .join(texts, "id")
+        .join(texts.hint("merge"), "id")  # the same plan at every size
         .select("id", "component", F.col(text_col).alias("text"), "s1", "s2")
         .mapInArrow(lambda it: _payloads(it, k), "key long, id long, payload binary, n long")
         .select("key", "id", "payload")
