@@ -12,7 +12,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hangs each node's larger (or other) neighbours on its smallest neighbour, or itself if that is smaller."""
     turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
     both = edges.unionByName(turned) if large else edges
-    least = both.groupBy("a").agg(F.min("b").alias("least"))
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("least")), "least")
     hung = both.join(least, "a")
     if large:
         out = hung.where("b > a").select(F.col("b").alias("a"), F.least("least", "a").alias("b"))

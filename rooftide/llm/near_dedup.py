@@ -3,13 +3,14 @@
 1. Every document gets its set of k-word shingles (64-bit hashes), a 128-bit hash of the set and SIGNATURE minwise
    tokens. Equal sets collapse to one representative, the smallest id.
 2. TREES independent trees branch the representatives: a root's children are named by the tree's own minwise token,
-   and a node of over NODE_ROWS rows branches again by two further tokens, down to DEPTH. A pair at similarity s
-   meets in a tree with probability s or little less, so at 0.8 it is missed by all with 0.2 ** TREES.
+   and a node of over NODE_ROWS rows branches again by two further tokens, down to DEPTH or until a child keeps
+   over DENSE of its parent's rows. A pair at similarity s meets in a tree with probability s or little less, so at
+   0.8 it is missed by all with 0.2 ** TREES.
 3. Nodes compare their members exhaustively by signature; a pair passes above `threshold - SLACK` (4 standard
    errors). Only what joins two clusters is emitted. Connected candidates form closed clusters.
 4. Clusters compare full sets exhaustively, except within what is linked already.
 
-Groups too large for one task (nodes still large at DEPTH, large clusters) are compared with a few hubs first, then
+Groups too large for one task (nodes that stay large, large clusters) are compared with a few hubs first, then
 what no hub has linked with everything in the group, block by block. So no link between different sets is lost in
 them, and a group of near copies costs a few comparisons a row.
 """
@@ -17,6 +18,7 @@ them, and a group of near copies costs a few comparisons a row.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import NO_ID, as_binary, groups, materialize, mix, seeds, text_chunks, word_hashes
 from .components import connected_components
 
-TREES, DEPTH, NODE_ROWS, SIGNATURE, SLACK = 10, 3, 1500, 80, 0.2
+TREES, DEPTH, NODE_ROWS, SIGNATURE, SLACK, DENSE = 10, 5, 1500, 80, 0.2, 0.7
 #: Clusters of up to so many shingles in all are compared in one task.
 CLUSTER_SHINGLES = 4_000_000
 HUBS, ROWS_A_BLOCK, OPEN_A_BLOCK = 4, 1000, 250
@@ -162,27 +164,39 @@ def _within(batches: Iterator[pa.RecordBatch], compare: Callable) -> Iterator[pa
 
 
 def _with_hubs(batches: Iterator[pa.RecordBatch], compare: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows (id, payload, hubs: array of (id, payload)) -> (a: the row's id, b: a hub like it, else null)."""
+    """Rows (id, payload, hubs: array of (id, payload)) -> (a: the row's id, b: a hub like it, else null). Of hubs that
+    are alike among themselves, a row that is no hub is tied to one."""
     for batch in batches:
         a, b = [], []
         for i, own, hubs in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "payload", "hubs")), strict=True):
-            like = compare([own, *(h["payload"] for h in hubs)])(0, np.arange(1, len(hubs) + 1))
-            to = [h["id"] for h, yes in zip(hubs, like, strict=True) if yes and h["id"] != i] + [i] * any(h["id"] == i for h in hubs)
-            a += [i] * max(1, len(to))
-            b += to or [None]
+            like = compare([own, *(h["payload"] for h in hubs)])
+            is_hub = any(h["id"] == i for h in hubs)
+            to: list[int] = []
+            for j in 1 + np.flatnonzero(like(0, np.arange(1, len(hubs) + 1))):
+                if is_hub or not (to and like(int(j), np.array(to)).any()):
+                    to.append(int(j))
+            ids = [hubs[j - 1]["id"] for j in to]
+            a += [i] * max(1, len(ids))
+            b += ids or [i if is_hub else None]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _open_blocks(batches: Iterator[pa.RecordBatch], compare: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows of two blocks of (id, payload): edges between what is alike across the blocks."""
+    """Rows of two blocks of (id, payload), each open row compared with both blocks: edges that connect what is alike, no
+    more than rows."""
     for batch in batches:
         pairs = []
         for left, right in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("open", "block")), strict=True):
+            ids = np.array([x["id"] for x in (*left, *right)])
             like = compare([x["payload"] for x in (*left, *right)])
-            js = np.arange(len(left), len(left) + len(right))
-            for i, x in enumerate(left):
-                pairs += [(x["id"], right[j - len(left)]["id"]) for j in js[like(i, js)]]
-        yield _edges([p for p in pairs if p[0] != p[1]])
+            label = np.unique(ids, return_inverse=True)[1]
+            for i in range(len(left)):
+                js = np.flatnonzero(label != label[i])
+                js = js[like(i, js)] if js.size else js
+                for other, at in zip(*np.unique(label[js], return_index=True), strict=True):
+                    pairs.append((int(ids[i]), int(ids[js[at]])))
+                    label[label == other] = label[i]
+        yield _edges(pairs)
 
 
 def link_groups(small: DataFrame, compare: Callable) -> DataFrame:
@@ -195,6 +209,7 @@ def link_large(large: DataFrame, compare: Callable) -> DataFrame:
     large = materialize(large, "large")
     firsts = [F.min(F.struct(F.xxhash64(F.lit(i), "id").alias("h"), "id", "payload")).alias(f"h{i}") for i in range(HUBS)]
     hubs = large.groupBy("key").agg(*firsts).select("key", F.array_distinct(F.array(*(F.struct(f"h{i}.id", f"h{i}.payload") for i in range(HUBS)))).alias("hubs"))
+    hubs = materialize(hubs, "hubs")
     tried = materialize(large.join(hubs, "key").select("id", "payload", "hubs").mapInArrow(lambda it: _with_hubs(it, compare), "a long, b long"), "hubbed")
     edges = tried.where("b IS NOT NULL AND a <> b")
     alone = large.join(tried.where("b IS NULL").select(F.col("a").alias("id")).distinct(), "id", "left_semi")
@@ -221,30 +236,31 @@ def _token(j: int) -> str:
 def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
     """Edges that connect all pairs that meet in a node and are alike by signature. reps: id, sig."""
     roots = F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.expr(f"xxhash64({t}, {_token(t)})").alias("key")) for t in range(TREES))))
-    rows = reps.select("id", "sig", roots.alias("x")).select("id", "sig", "x.tree", "x.key").select("id", "tree", "key")
-    leaves = []
+    rows = reps.select("id", roots.alias("x")).select("id", "x.tree", "x.key", F.lit(1 << 62).alias("above"))
+    leaves, dense = [], []
     compare = _sig_pass(threshold)
     sigs = reps.select("id", F.col("sig").alias("payload"))
     for depth in range(DEPTH + 1):
-        counts = rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
+        # A table of its own, so that Spark may split a hot node's rows in the join.
+        counts = materialize(rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), f"nodes{depth}")
         level = materialize(rows.join(counts, "key"), f"level{depth}")
         leaves.append(level.where(F.col("rows") <= NODE_ROWS).select("key", "id"))
         big = level.where(F.col("rows") > NODE_ROWS)
+        stays = (F.col("rows") > DENSE * F.col("above")) if depth < DEPTH else F.lit(True)
+        dense.append(big.where(stays).select("key", "id"))
+        big = big.where(~stays)
         if not big.head(1):
-            big = None
             break
         if depth < DEPTH:
             width = (SIGNATURE - TREES) // (2 * DEPTH)
             tokens = F.array(*(F.expr(_token(j)) for j in range(TREES + 2 * width * depth, TREES + 2 * width * (depth + 1))))
             at = lambda b: F.element_at(F.col("tokens"), (2 * F.pmod(F.col("tree"), F.lit(width)) + b + 1).cast("int"))
-            branched = big.select("key", "id", "tree").join(reps.select("id", tokens.alias("tokens")), "id")
-            rows = branched.select("id", "tree", F.explode(F.array(*(F.xxhash64("key", F.lit(b), at(b)) for b in (0, 1)))).alias("key"))
-    small = leaves[0]
-    for x in leaves[1:]:
-        small = small.unionByName(x)
+            branched = big.select("key", "id", "tree", "rows").join(reps.select("id", tokens.alias("tokens")), "id")
+            rows = branched.select("id", "tree", F.explode(F.array(*(F.xxhash64("key", F.lit(b), at(b)) for b in (0, 1)))).alias("key"), F.col("rows").alias("above"))
+    small, large = reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, dense)
     edges = link_groups(small.join(sigs, "id").select("key", "id", "payload"), compare)
-    if big is not None:
-        edges = edges.unionByName(link_large(big.select("key", "id").join(sigs, "id").select("key", "id", "payload"), compare))
+    if large.head(1):
+        edges = edges.unionByName(link_large(large.join(sigs, "id").select("key", "id", "payload"), compare))
     return edges.distinct()
 
 
@@ -268,7 +284,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     reps = materialize(base.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n")), "reps")
     clusters = materialize(connected_components(candidate_edges(reps, percent / 100)), "clusters")
     members = reps.select("id", "s1", "s2", "n").join(clusters, "id")
-    weight = members.groupBy("component").agg(F.sum("n").alias("weight"))
+    weight = materialize(members.groupBy("component").agg(F.sum("n").alias("weight")), "weights")
     members = materialize(members.join(weight, "component").select("id", "component", "s1", "s2", "weight"), "members")
     texts = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("id"), as_binary(text_col))
     full = (
@@ -293,6 +309,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         F.when(own, F.col("id")).alias(id_col),
         F.col("n").alias("n_shingles"),
         F.when(component != NO_ID, component).alias("component_id"),
-        F.coalesce(own & (F.col("id") == component), F.lit(False)).alias("kept"),
+        (F.col("id") == component).alias("kept"),
         F.when(F.coalesce("class_id", "id") != NO_ID, F.coalesce("class_id", "id")).alias("class_id"),
     )
