@@ -1,0 +1,153 @@
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from common import corpus, documents, empty, sentence
+from pyspark.sql import functions as F
+
+from rooftide.llm import decontaminate, pii, winnowing
+
+KEY = b"test"
+
+
+def brute_winnow(text):
+    """By the definition: every window's least hash, the rightmost of equals."""
+    points = winnowing.code_points(text)
+    k, w = winnowing.K, winnowing.WINDOW
+    if len(points) < k:
+        return None
+    h = []
+    for i in range(len(points) - k + 1):
+        x = 0
+        for c in winnowing.mix(points[i : i + k].astype(np.uint64) + np.uint64(1)).tolist():
+            x = (x * winnowing._BASE + c) % 2**64
+        h.append(int(winnowing.mix(np.array([x], np.uint64))[0]) >> 24)
+    n = max(1, len(h) - w + 1)
+    return sorted({max(range(i, min(i + w, len(h))), key=lambda j: (-h[j], j)) for i in range(n)})
+
+
+@pytest.mark.parametrize("text", ["a" * 100, "abcabcabc" * 9, "short text of all", "é日本" * 30 + "x", "abcdefghijklmnop", "abcdefghijklmnopq"])
+def test_winnowing_by_definition(text):
+    hashes, positions = winnowing.winnow(winnowing.code_points(text))
+    assert positions.tolist() == brute_winnow(text) and len(hashes) == len(positions)
+
+
+def test_shared_passages_share_a_fingerprint():
+    rng = random.Random(1)
+    for _ in range(50):
+        common = "".join(rng.choice("abcdef ") for _ in range(winnowing.K + winnowing.WINDOW - 1))
+        a, b = ("".join(rng.choice("ghijkl ") for _ in range(rng.randrange(60))) + common + "mn" * rng.randrange(40) for _ in range(2))
+        x, y = (set(winnowing.winnow(winnowing.code_points(t))[0].tolist()) for t in (a, b))
+        assert x & y
+
+
+def test_compare_with_next(spark, monkeypatch):
+    monkeypatch.setattr(winnowing, "RANGE_ROWS", 9)
+    rows = sorted(((r[0], r[1]) for r in corpus()), key=lambda r: (-(r[0] if r[0] is not None else 2**63 - 1), r[1] or ""))
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in winnowing.compare_with_next(documents(spark)).collect())
+    want = Counter()
+    for (i, text), (_, other) in zip(rows, rows[1:] + rows[:1], strict=True):
+        text, other = text or "", other or ""
+        half = len(text) // 2
+        want[i, len(text), hashlib.sha256((text[: len(text) - half] + other[:half]).encode()).hexdigest()] += 1
+    assert got == want
+    assert winnowing.compare_with_next(empty(spark)).count() == 0
+    (one,) = winnowing.compare_with_next(spark.createDataFrame([(5, "lonely text")], "doc_id long, text string")).collect()
+    assert one.near_next == 1.0
+
+
+def test_equal_texts_have_equal_fingerprints(spark):
+    got = {r.doc_id: r for r in winnowing.compare_with_next(documents(spark).dropDuplicates(["doc_id"]).where("doc_id IS NOT NULL")).collect()}
+    assert got[50].fingerprint == got[3].fingerprint == got[51].fingerprint != got[4].fingerprint
+    assert got[54].near_next == 0.0 or got[54].n_chars == 0
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got.values())
+    full = winnowing.fingerprints(documents(spark)).where("doc_id = 58").first()
+    assert len(full["hashes"]) == len(full["positions"]) > 1000
+
+
+PRIVATE = "Call +1 (835) 555-6426 or mail jane.doe99@mail4.example.com, card 4111 1111 1111 1111, host 39.197.112.39, born 1987-03-21, IBAN DE89 3704 0044 0532 0130 00, ssn 219-09-9999; password=abc12345xyz. 03/25/1999"
+
+
+def test_pseudonyms_keep_format_link_and_round_trip():
+    new, found = pii.find_and_replace(PRIVATE, KEY)
+    assert [f[0] for f in found] == ["phone", "email", "card", "ip", "date", "iban", "ssn", "secret", "date"]
+    for kind, a, b, value in found:
+        assert value != PRIVATE[a:b] and value in new and PRIVATE[a:b] not in new
+        assert len(value) == b - a or kind in ("ip",)
+    assert pii.find_and_replace(new, KEY, back=True)[0] == PRIVATE
+    assert pii.find_and_replace(PRIVATE, b"other")[0] != new
+    card = next(f[3] for f in found if f[0] == "card").replace(" ", "")
+    assert pii.luhn_digit(card[:-1]) == card[-1] and card[0] == "4"
+    assert pii.find_and_replace("4111-1111-1111-1111", KEY)[0].replace("-", "") == card
+    assert pii.find_and_replace("x +18355556426", KEY)[0][3:] == "".join(c for c in found[0][3] if c.isdigit() or c == "+")
+
+
+@pytest.mark.parametrize("text", ["4111 1111 1111 1112", "version 1.2.3", "2023-13-45", "999.1.1.1", "IBAN DE00 3704 0044 0532 0130 00", "666-12-3456", "1234567890123456", "a@b", "order 12345", ""])
+def test_what_is_not_valid_stays(text):
+    assert pii.find_and_replace(text, KEY) == (text, [])
+
+
+def test_permutation_is_a_bijection():
+    for size in (2, 10, 37, 1000):
+        image = [pii.permute(x, size, KEY, "t") for x in range(size)]
+        assert sorted(image) == list(range(size))
+        assert [pii.permute(y, size, KEY, "t", True) for y in image] == list(range(size))
+
+
+def test_pseudonymise_frame(spark):
+    rows = [(1, PRIVATE, "k"), (2, None, None), (3, "", "k"), (4, "clean text", "k"), (1, PRIVATE, "k"), (5, "word " * 40_000 + "219-09-9999", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, pii_spans string")
+    got = pii.pseudonymise(df, KEY)
+    found = got.select("doc_id", "text", "pii_spans", pii.counts_by_kind().alias("kinds")).collect()
+    assert len(found) == 6 and {r.doc_id: r.text for r in found}[2] is None and {r.doc_id: r.text for r in found}[4] == "clean text"
+    assert {r.kinds for r in found if r.doc_id == 1} == {"card:1,date:2,email:1,iban:1,ip:1,phone:1,secret:1,ssn:1"}
+    assert next(r for r in found if r.doc_id == 5).pii_spans[0].start == 200_000
+    back = pii.pseudonymise(got, KEY, back=True)
+    assert Counter(r.text for r in back.collect()) == Counter(r[1] for r in rows)
+    assert pii.pseudonymise(empty(spark), KEY).count() == 0
+
+
+def brute_lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_subsequence():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(1, 20))] for _ in range(2))
+        assert decontaminate.subsequence(decontaminate._bits(a), len(a), b) == brute_lcs(a, b)
+
+
+def test_decontamination(spark, monkeypatch):
+    rng = random.Random(7)
+    made = lambda n: " ".join("".join(rng.choice("bcdfgklmnprstv") + rng.choice("aeiou") for _ in range(rng.randrange(2, 4))) for _ in range(n))
+    items = [(i, made(12 + i) + ". " + made(6) + ".") for i in range(12)]
+    rows = [(i, made(rng.randrange(1, 300))) for i in range(150)]
+    rows += [(200 + i, made(rng.randrange(100)) + "\n" + t + " " + made(rng.randrange(100))) for i, t in items]
+    swapped = [" ".join(w if j % 4 else made(1) for j, w in enumerate(t.split())) for _, t in items]
+    rows += [(300 + i, made(50) + " " + t + " " + made(50)) for i, t in enumerate(swapped)]
+    rows += [(400, None), (401, ""), (402, items[3][1].upper()), (402, items[3][1].upper()), (403, made(20_000) + " " + items[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("contaminated", F.lit("x"))
+    bench = spark.createDataFrame([*items, (99, None), (98, "")], "item_id long, text string")
+    for size in (decontaminate.ITEMS_A_PASS, 5):
+        monkeypatch.setattr(decontaminate, "ITEMS_A_PASS", size)
+        got = decontaminate.contaminated(docs, bench).collect()
+        assert len(got) == len(rows)
+        hit = {r.doc_id: r.item_ids for r in got if r.contaminated}
+        assert {k: v for k, v in hit.items() if k < 300} == {200 + i: [i] for i in range(12)}
+        assert hit[402] == [3] and hit[403] == [5] and sum(300 <= k < 400 for k in hit) >= 10
+        assert all(v == [k - 300] for k, v in hit.items() if 300 <= k < 400)
+    assert decontaminate.contaminated(docs, bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate.contaminated(empty(spark), bench).count() == 0
+
+
+def test_sentence_helper():
+    assert len(sentence(random.Random(0), "fr", 5).split()) == 5
