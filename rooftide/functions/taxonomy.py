@@ -111,12 +111,18 @@ def rooms_of(kind: Column, bedrooms: Column) -> Column:
     return F.coalesce(first_match(F.lower(F.coalesce(kind, F.lit(""))), [(n, t) for t, n in ROOMS_BY_KIND]), bedrooms + 1)
 
 
+def at_least_none(n: Column) -> Column:
+    """n, or 0 if it is negative; null stays null, which greatest() would not keep."""
+    return F.when(n < 0, F.lit(0)).otherwise(n)
+
+
 def bedrooms_of(title: Column, body: Column) -> Column:
     """From titles and text: digits, written-out rooms, room digits, studios; in this order, titles first."""
     digit = lambda pattern: F.coalesce(*(F.nullif(F.regexp_extract(x, pattern, 1), F.lit("")).try_cast("int") for x in (title, body)))
     written = first_match(F.concat_ws("\n", title, body), [(max(n - 1, 0), p) for n, p in ROOM_WORDS])
+    by_digit = digit(ROOMS_DIGIT) - 1
     studio = F.when(title.rlike(STUDIO) | F.left(body, F.lit(400)).rlike(STUDIO), F.lit(0))
-    return F.coalesce(digit(BEDROOMS), written, F.greatest(digit(ROOMS_DIGIT) - 1, F.lit(0)), studio)
+    return F.coalesce(digit(BEDROOMS), written, at_least_none(by_digit), studio)
 
 
 def deal_of(text: Column) -> Column:

@@ -29,10 +29,13 @@ SURE, CITY_ONLY, UNSURE = "0.95", "0.40", "0.00"
 
 
 def phrase_grams(text: Column, longest: int) -> Column:
-    """All distinct runs of 1 to longest words."""
+    """All distinct runs of 1 to longest words; each length grows from the one below."""
     w = words(text)
-    runs = F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))
-    return F.filter(F.array_distinct(F.flatten(runs)), lambda x: x != "")
+    runs = [w]
+    for n in range(2, longest + 1):
+        grown = F.zip_with(runs[-1], F.slice(w, n, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
+        runs.append(F.array_compact(grown))
+    return F.filter(F.array_distinct(F.concat(*runs)), lambda x: x != "")
 
 
 def alias_matches(texts: DataFrame, aliases: DataFrame, longest: int, keys: list[str] | None = None) -> DataFrame:

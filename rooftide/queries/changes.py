@@ -139,10 +139,10 @@ def latest_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.latest_probe(probes, tie="probe").select("agency_slug", "probe", "value")
 
 
-@query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events")
+@query("SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), -1) AS carried FROM events")
 def heading_carried_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "events").withColumns({"heading": F.when(F.col("event_type") == "signup", F.col("event_id")), "at": F.struct("ts", "event_id")})
-    return latest.carried_down(rows, "user_id", "at", "heading").select("event_id", "carried")
+    return latest.carried_down(rows, "user_id", "at", "heading").select("event_id", F.coalesce("carried", F.lit(-1).cast("long")).alias("carried"))
 
 
 @query("SELECT o_custkey AS id, o_orderkey AS seq, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev_price FROM orders")

@@ -22,24 +22,24 @@ def query(sql: str | None):
     return add
 
 
-CARD = ["id", "title", "deal", "price", "area", "bedrooms"]
+CARD = ["id", "title", "deal", "price", "area", "double(bedrooms) AS bedrooms"]
 
 
-@query(f"WITH {LIVE_SQL} SELECT id, title, deal, price, area, bedrooms FROM live WHERE deal = 'sale' AND (price <= 980 OR price IS NULL) AND (bedrooms >= 2 OR bedrooms IS NULL) ORDER BY price ASC NULLS LAST, id DESC LIMIT 24 OFFSET 24")
+@query(f"WITH {LIVE_SQL} SELECT id, title, deal, price, area, bedrooms::DOUBLE AS bedrooms FROM live WHERE deal = 'sale' AND (price <= 980 OR price IS NULL) AND (bedrooms >= 2 OR bedrooms IS NULL) ORDER BY price ASC NULLS LAST, id DESC LIMIT 24 OFFSET 24")
 def live_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.filtered(search.live(listings(spark, sf_dir)), {"deal": "sale", "price_max": "980", "beds": "2"}, groups=GROUPS)
-    return search.page_of(found, "price_asc", 2).select(CARD)
+    return search.page_of(found, "price_asc", 2).selectExpr(*CARD)
 
 
-@query(f"WITH {LIVE_SQL} SELECT id, title, deal, price, area, bedrooms FROM live WHERE deal = 'sale' AND (contains(lower(title), 'ring') OR contains(lower(location), 'ring')) AND {kind_sql('house')} AND (area >= 50 OR area IS NULL) ORDER BY area DESC NULLS LAST, id DESC LIMIT 24")
+@query(f"WITH {LIVE_SQL} SELECT id, title, deal, price, area, bedrooms::DOUBLE AS bedrooms FROM live WHERE deal = 'sale' AND (contains(lower(title), 'ring') OR contains(lower(location), 'ring')) AND {kind_sql('house')} AND (area >= 50 OR area IS NULL) ORDER BY area DESC NULLS LAST, id DESC LIMIT 24")
 def search_text_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search.filtered(search.live(listings(spark, sf_dir)), {"q": " Ring ", "kind": "house", "area_min": "50", "price_min": "cheap"}, groups=GROUPS)
-    return search.page_of(found, "area_desc").select(CARD)
+    return search.page_of(found, "area_desc").selectExpr(*CARD)
 
 
-@query(f"WITH {LIVE_SQL}, {IMAGES_SQL} SELECT id, title, deal, price, area, bedrooms FROM live WHERE deal = 'rent' AND id IN (SELECT offer_id FROM images)")
+@query(f"WITH {LIVE_SQL}, {IMAGES_SQL} SELECT id, title, deal, price, area, bedrooms::DOUBLE AS bedrooms FROM live WHERE deal = 'rent' AND id IN (SELECT offer_id FROM images)")
 def with_photo_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.filtered(search.live(listings(spark, sf_dir)), {"deal": "rent", "with_photo": "1"}, images(spark, sf_dir), GROUPS).select(CARD)
+    return search.filtered(search.live(listings(spark, sf_dir)), {"deal": "rent", "with_photo": "1"}, images(spark, sf_dir), GROUPS).selectExpr(*CARD)
 
 
 _NEW = f"({any_of('title', ['new construction'])} OR {any_of('notes', taxonomy.NEW_BUILD_TOKENS)})"
@@ -171,11 +171,14 @@ def cluster_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {LISTINGS_SQL}, {_KEYED}, {GEO_SQL}, k AS (SELECT keyed.*, city FROM keyed JOIN geo USING (id) WHERE dedup_key <> ''), pairs AS (SELECT a.id, b.id AS sibling_id, row_number() OVER (PARTITION BY a.id ORDER BY b.first_seen DESC NULLS LAST, b.price ASC NULLS LAST, b.id) AS place FROM k a JOIN k b USING (dedup_key, city, deal) WHERE a.id <> b.id) SELECT id, sibling_id, place::INT AS place FROM pairs WHERE place <= 24"
+    f"WITH {LISTINGS_SQL}, {GEO_SQL}, k AS (SELECT listings.*, city, left(sha1(concat_ws('|', lower(kind), 'home', bedrooms::VARCHAR, '', '')), 16) AS dedup_key FROM listings JOIN geo USING (id) WHERE bedrooms IS NOT NULL), "
+    "pairs AS (SELECT a.id, b.id AS sibling_id, row_number() OVER (PARTITION BY a.id ORDER BY b.first_seen DESC NULLS LAST, b.price ASC NULLS LAST, b.id) AS place FROM k a JOIN k b USING (dedup_key, city, deal) WHERE a.id <> b.id) SELECT id, sibling_id, place::INT AS place FROM pairs WHERE place <= 24"
 )
 def exact_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = search.with_geography(_keyed(spark, sf_dir), geography(spark, sf_dir)).withColumn("last_seen", F.col("first_seen"))
-    return search.siblings(rows)
+    nothing = F.lit(None).cast("int")
+    key = identity.dedup_key(F.col("kind"), F.lit("Home"), F.col("bedrooms"), nothing, nothing)
+    rows = listings(spark, sf_dir).withColumns({"dedup_key": key, "last_seen": F.col("first_seen")})
+    return search.siblings(search.with_geography(rows, geography(spark, sf_dir)))
 
 
 @query(f"WITH {LISTINGS_SQL}, {GEO_SQL} SELECT city, deal, kind, CASE WHEN count(price) > 1 THEN max(price) - min(price) END AS spread, count(*) AS members FROM listings JOIN geo USING (id) GROUP BY city, deal, kind")
@@ -193,7 +196,7 @@ def fuzzy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy.similar_texts(names, names, 0.5).where("a < b").select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-_FUZZY = f"""WITH {LISTINGS_SQL}, {GEO_SQL}, o AS (SELECT id, agency_id, city, location, deal, bedrooms, area, price, is_active, lower(title) AS t FROM listings JOIN geo USING (id) WHERE title <> '' AND location <> ''),
+_FUZZY = f"""WITH {LISTINGS_SQL}, o AS (SELECT id, agency_id, id % 3 AS city, kind AS location, deal, bedrooms, area, price, is_active, lower(title) AS t FROM listings WHERE title <> '' AND kind <> ''),
 n AS (SELECT t, {_GRAMS.format('t')} AS g FROM (SELECT DISTINCT t FROM o)), s AS (SELECT a.t AS ta, b.t AS tb, {_SIM.format('a.g', 'b.g')} AS sim FROM n a, n b WHERE {_SIM.format('a.g', 'b.g')} >= 0.55),
 p AS (SELECT a.id, b.id AS other_id, sim, b.price - a.price AS delta, row_number() OVER (PARTITION BY a.id ORDER BY sim DESC, b.price ASC NULLS LAST, b.id) AS place
 FROM o a JOIN o b USING (city, location, deal) JOIN s ON ta = a.t AND tb = b.t
@@ -204,7 +207,7 @@ SELECT id, other_id, place::INT AS place, round_even(sim, 3) AS similarity, delt
 
 @query(_FUZZY)
 def fuzzy_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listings(spark, sf_dir).join(geography(spark, sf_dir), "id").withColumn("title_norm", F.lower("title"))
+    rows = listings(spark, sf_dir).withColumns({"title_norm": F.lower("title"), "city": F.col("id") % 3, "location": F.col("kind")})
     return fuzzy.also_at(fuzzy.possible_duplicates(rows, rows)).select("id", "other_id", "place", "similarity", "price_delta")
 
 
@@ -222,8 +225,8 @@ def corpus_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {LIVE_SQL}, {GEO_SQL}, c AS (SELECT l.*, city, neighbourhood FROM live l JOIN geo USING (id) WHERE city_active AND city = (SELECT max(city) FROM geo WHERE city_active) AND deal = 'sale'),
-k AS (SELECT *, {any_of('kind', GROUPS['apartment'])} AS apt, ({any_of('kind', GROUPS['apartment'])} OR {any_of('kind', GROUPS['house'])} OR {any_of('kind', GROUPS['land'])}) AS some FROM c),
-s AS (SELECT id, first_seen, CASE WHEN some THEN apt END AS a_kind, bedrooms + 1 = 3 AS a_rooms, price <= 990 AND price >= 0 AS a_budget, area >= 20 AS a_area, neighbourhood IN ('Brand#3', 'Brand#9', 'Brand#20') AS a_nb,
+k AS (SELECT *, {any_of('kind', GROUPS['apartment'])} AS apt, ({any_of('kind', GROUPS['apartment'])} OR {any_of('kind', GROUPS['house'])} OR {any_of('kind', GROUPS['land'])}) AS known FROM c),
+s AS (SELECT id, first_seen, CASE WHEN known THEN apt END AS a_kind, bedrooms + 1 = 3 AS a_rooms, price <= 990 AND price >= 0 AS a_budget, area >= 20 AS a_area, neighbourhood IN ('Brand#3', 'Brand#9', 'Brand#20') AS a_nb,
 CASE WHEN notes = 'no lift, garden' THEN false WHEN notes = 'pool and lift' THEN true END AS a_lift FROM k),
 f AS (SELECT * FROM s WHERE coalesce(a_kind, true) AND coalesce(a_rooms, true) AND coalesce(a_budget, true) AND coalesce(a_area, true) AND coalesce(a_nb, true) AND coalesce(a_lift, true)),
 r AS (SELECT id, first_seen, 5 + 2 * (a_kind IS NOT NULL)::INT + 3 * (a_rooms IS NOT NULL)::INT + 3 * (a_budget IS NOT NULL)::INT + 2 * (a_area IS NOT NULL)::INT + 3 * (a_nb IS NOT NULL)::INT + (a_lift IS NOT NULL)::INT AS w FROM f)
@@ -244,13 +247,13 @@ def wishlist_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {LISTINGS_SQL} SELECT id, CASE WHEN notes = 'no lift, garden' THEN 'garden=true;lift=true' WHEN notes = 'pool and lift' THEN 'lift=true;pool=true;pool_view=true' ELSE '' END AS features, CASE WHEN notes = 'no lift, garden' THEN false WHEN notes = 'pool and lift' THEN true END AS wants_lift FROM listings WHERE notes NOT LIKE '%акт%' AND notes <> 'new construction'"
+    f"WITH {LISTINGS_SQL} SELECT id, CASE WHEN notes = 'no lift, garden' THEN 'garden=true;lift=true' WHEN notes = 'pool and lift' THEN 'lift=true;pool=true;pool_view=true' ELSE '' END AS features, CASE WHEN notes = 'no lift, garden' THEN false WHEN notes = 'pool and lift' THEN true END::VARCHAR AS wants_lift FROM listings WHERE notes NOT LIKE '%акт%' AND notes <> 'new construction'"
 )
 def feature_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {"title": F.col("title"), "notes": F.col("notes")}
     rows = listings(spark, sf_dir).where("notes NOT LIKE '%акт%' AND notes <> 'new construction'")
     decided = F.array_sort(F.transform(F.map_entries(features.resolve(columns)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
-    return rows.select("id", F.array_join(decided, ";").alias("features"), features.requirement("lift", columns).alias("wants_lift"))
+    return rows.select("id", F.array_join(decided, ";").alias("features"), features.requirement("lift", columns).cast("string").alias("wants_lift"))
 
 
 @query("SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'pre_act16' WHEN 1 THEN 'act16' WHEN 2 THEN 'act15' WHEN 3 THEN 'act14' WHEN 4 THEN 'pre_act14' END AS stage, p_partkey % 6 <> 5 OR p_size % 2 = 0 AS new_build FROM part")

@@ -93,7 +93,7 @@ def clean_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", text.clean_url(doubled).alias("url"))
 
 
-_TRACE = "SELECT user_id AS agency, event_type AS outcome, event_id AS bytes, CAST(value * 100 AS BIGINT) AS ms FROM events"
+_TRACE = "SELECT user_id AS agency, event_type AS outcome, event_id AS bytes, CAST(floor(value * 100) AS BIGINT) AS ms FROM events"
 
 
 @query(
@@ -102,7 +102,7 @@ SELECT agency, count(*) AS pages, count(*) FILTER (outcome = 'view') AS n_view,
 )
 def crawl_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.when(F.col("event_type") == "click", F.array(F.lit("price"), F.lit("area"))).when(F.col("event_type") == "view", F.array(F.lit("price"))).otherwise(F.array().cast("array<string>"))
-    trace = read(spark, sf_dir, "events").select(F.col("user_id").alias("agency"), F.col("event_type").alias("outcome"), F.col("event_id").alias("bytes"), (F.col("value") * 100).cast("long").alias("ms"), found.alias("fields_found"))
+    trace = read(spark, sf_dir, "events").select(F.col("user_id").alias("agency"), F.col("event_type").alias("outcome"), F.col("event_id").alias("bytes"), F.floor(F.col("value") * 100).alias("ms"), found.alias("fields_found"))
     return report.crawl_report(trace, ["price", "area"], ["view", "error"])
 
 

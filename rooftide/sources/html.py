@@ -116,14 +116,15 @@ def parse_page(html: str | None) -> dict:
     return {"title": " ".join("".join(reader.title).split()), "h1": h1, "og": reader.og, "ld": ld, "content": content, "links": reader.links}
 
 
-@F.pandas_udf(PAGE)
 def _parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in pages:
         yield pd.DataFrame([parse_page(x) for x in part], columns=["title", "h1", "og", "ld", "content", "links"])
 
 
 def with_page(pages: DataFrame, html: str = "html", name: str = "page") -> DataFrame:
-    return pages.withColumn(name, _parsed(F.col(html)))
+    # Made here, as a UDF's type can only be read once there is a session.
+    read = F.pandas_udf(_parsed, PAGE)
+    return pages.withColumn(name, read(F.col(html)))
 
 
 # --- labelled facts ---------------------------------------------------------------------------------------------------
@@ -203,7 +204,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame
     floor_text = F.regexp_extract(F.regexp_replace(body, r"(?iu)(етажност|общо етаж|всего этаж|total floors?)\D{0,12}\d+", ""), FLOOR, 0)
     floor = F.coalesce(F.when(spec["floor"].rlike(GROUND), F.lit(0.0)), prices.number(spec["floor"]), prices.number(ld_value(ld, "floor")), prices.number(floor_text))
     area = F.coalesce(prices.number(spec["area"]), prices.number(ld_value(ld, "floorSize")), prices.number(F.nullif(F.regexp_extract(body, AREA, 1), F.lit(""))))
-    beds = F.coalesce(prices.number(spec["bedrooms"]).cast("int"), F.greatest(prices.number(spec["rooms"]).cast("int") - 1, F.lit(0)), taxonomy.bedrooms_of(title, body))
+    beds = F.coalesce(prices.number(spec["bedrooms"]).cast("int"), taxonomy.at_least_none(prices.number(spec["rooms"]).cast("int") - 1), taxonomy.bedrooms_of(title, body))
     out = read.select(
         *[c for c in pages.columns if c != html],
         title.alias("title"),
