@@ -99,7 +99,7 @@ def units(content: Column) -> Column:
     lines = F.filter(F.split(content, "\n"), lambda x: x != "")
     heading = lambda x: F.when(x.rlike(r"(?i)^\s*(minus\s+)?[a-z]+\s+floor\s*$"), taxonomy.floor_number(x))
     area = lambda x: prices.number(F.nullif(F.regexp_extract(x, r"(?iuU)(\d[\d.,]*)\s*(?:m2|m²|кв)", 1), F.lit("")))
-    price = lambda x: prices.number(F.nullif(F.regexp_extract(x, r"(?iuU)(\d[\d\s.,]*)\s*(?:€|EUR)", 1), F.lit("")))
+    price = lambda x: prices.number(F.nullif(F.regexp_extract(x, r"(?iuU)(?<![\w.,])(\d[\d\s.,]*)\s*(?:€|EUR)", 1), F.lit("")))
     rows = F.transform(lines, lambda x, i: F.struct(
         F.try_element_at(F.filter(F.transform(F.slice(lines, F.lit(1), i + 1), heading), lambda f: f.isNotNull()), F.lit(-1)).alias("floor"),
         F.nullif(F.regexp_extract(x, r"^\s*([A-Za-z]?-?\d+[A-Za-z]?)\b", 1), F.lit("")).alias("number"),
