@@ -20,8 +20,8 @@ _BITS = np.uint32(32 - 12)
 SAMPLE, SAMPLE_EACH = 6000, 1000
 CENTROIDS, ROUNDS = 4, 8
 #: A text is rejected if it is farther from its centroid than this share of the sample in its class of length, and a
-#: margin more.
-REJECT_SHARE, REJECT_MARGIN = 0.001, 0.03
+#: margin more, which is wider for short texts by what sampling so few n-grams may do.
+REJECT_SHARE, REJECT_MARGIN, REJECT_NOISE = 0.001, 0.03, 1.5
 
 #: Letters keep their byte; all else is a space.
 _LETTER = np.full(256, 0x20, np.uint32)
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str
         array = np.array(counts, np.float32)
         for c, s in zip(_length_class(array), model.predict(array)[1], strict=True):
             by_class.setdefault(int(c), []).append(s)
-    model.limits = np.array([max(0.0, np.quantile(by_class[c], REJECT_SHARE) - REJECT_MARGIN) if len(by_class.get(c, [])) >= 20 else 0.0 for c in range(16)])
+    model.limits = np.array([max(0.0, np.quantile(by_class[c], REJECT_SHARE) - REJECT_MARGIN - REJECT_NOISE * 2 ** (-c / 2)) if len(by_class.get(c, [])) >= 20 else 0.0 for c in range(16)])
     return model
 
 

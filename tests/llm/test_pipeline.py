@@ -17,7 +17,7 @@ def tables(spark, folder):
     items = [(i, made(25) + ".") for i in range(4)]
     rows = [(i, sentence(rng, "en", 40) + "\nfooter line of the site", "en", "ab"[i % 2], 0) for i in range(80)]
     rows += [(100 + i, rows[i][1].replace("the", "THE"), "en", "a", 0) for i in range(10)]
-    rows += [(200, "12 !!", "en", "a", 0), (201, None, "en", None, 0), (202, made(30) + " " + items[2][1], "en", "b", 0)]
+    rows += [(200, "12 !!", "en", "a", 0), (201, None, "en", None, 0), (202, sentence(rng, "en", 150) + " " + items[2][1], "en", "b", 0)]
     docs = spark.createDataFrame([(*r, None, None, None) for r in rows], SCHEMA).select("doc_id", "text", "lang", "source", "n_chars")
     docs.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
