@@ -34,7 +34,7 @@ def brute_marginal(pieces, scores, word):
 def small_pieces():
     texts = [b" a", b" ab", b"b", b"ab", b"ba", b" b", b"bab"]
     scores = np.log(np.concatenate([np.full(256, 0.001), np.linspace(0.05, 0.2, len(texts))]))
-    hashes = np.array([subword_lm._span_hashes(np.frombuffer(t, np.uint8)[None], len(t))[0, 0] for t in texts], np.uint64)
+    hashes = np.array([subword_lm.piece_hash(t) for t in texts], np.uint64)
     order = np.argsort(hashes)
     return subword_lm.Pieces(hashes[order], order + 256, scores), {t: 256 + i for i, t in enumerate(texts)}
 
@@ -43,14 +43,14 @@ def test_lattice_sums_all_segmentations():
     pieces, named = small_pieces()
     words = [b"a", b"ab", b"abab", b"babab", b"xyz", b"abxab"]
     got = subword_lm.lattice_scores([pieces], words)[0]
-    assert got == pytest.approx([brute_marginal(named, pieces.scores, w) for w in words])
+    assert got == pytest.approx([brute_marginal(named, pieces.scores, w) for w in words], rel=1e-4)
 
 
 def test_expected_counts_add_up():
     pieces, named = small_pieces()
     counts = subword_lm.expected_counts([pieces], [b"abab", b"xyz"], np.ones((1, 2), bool))[0]
     sizes = np.concatenate([np.ones(256), [len(t) for t in named]])
-    assert counts @ sizes == pytest.approx(len(b" abab") + len(b" xyz"))
+    assert counts @ sizes == pytest.approx(len(b" abab") + len(b" xyz"), rel=1e-4)
 
 
 def test_lm_contract(spark):
