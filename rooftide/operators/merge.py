@@ -206,3 +206,28 @@ def manifest_compare(recorded: DataFrame, current: DataFrame, key: str = "path",
 def row_checksum(df: DataFrame) -> DataFrame:
     """One row that changes with any row: count and the sum of the rows' hashes. For proving that nothing was touched."""
     return df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("checksum"))
+
+
+def price_dropped(price: Column, previous: Column) -> Column:
+    return F.coalesce(previous > price, F.lit(False))
+
+
+def needs_verification(source: Column, verified_at: Column) -> Column:
+    """A web find is hearsay until somebody confirms it."""
+    return (source == "web") & verified_at.isNull()
+
+
+def repair_deals(matched: DataFrame) -> DataFrame:
+    """matched (id, old_deal, deal, price, prev_price): rows that an earlier import moved to the other deal get their deal back,
+    and no previous price, as prices of two deals do not compare. Adds repaired and the history line of it."""
+    wrong = ~F.col("old_deal").eqNullSafe(F.col("deal"))
+    line = F.struct(F.lit("changed").alias("event"), F.lit("identity_repair").alias("field"), F.col("old_deal").alias("old_value"), F.col("deal").alias("new_value"))
+    return matched.withColumns({"repaired": wrong, "prev_price": F.when(~wrong, F.col("prev_price")), "history": F.when(wrong, line)})
+
+
+def deactivate_with_evidence(state: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(offer_id) of active rows that their own page says are gone. evidence: ref, url, outcome, in_scope; state: offer_id, ref, url,
+    is_active. Evidence that fits several rows is ambiguous and withdraws none; absence is no evidence."""
+    gone = evidence.where((F.col("outcome") == "unavailable") & F.col("in_scope")).select("ref", "url")
+    found = single_matches(gone, state.where("is_active"))
+    return found.where("NOT ambiguous").select("offer_id").distinct()

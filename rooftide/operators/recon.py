@@ -141,3 +141,22 @@ def is_listing(url: Column, include: Column, drop: Column) -> Column:
 def is_page_of(url: Column, base: Column) -> Column:
     """Another page of the same catalogue: same host, path below, and a page number."""
     return (host(url) == host(base)) & F.startswith(url_path(url), F.regexp_replace(url_path(base), "/$", "")) & url.rlike(r"(?i)([?&](page|p|paged|pg)=\d+|/page[/-]?\d+)")
+
+
+LANGUAGES = ("/en/", "/ru/", "/de/")
+
+
+def derived_spec(probe: Column, pattern: Column, catalogues: Column) -> Column:
+    """struct(catalog, include, drop) of a site from its probe: the final address, the listing shape and shapes of catalogues.
+    Other languages' copies are dropped, but never the prefix that the listings themselves have."""
+    root = F.regexp_extract(probe, r"^([a-zA-Z]+://[^/?#]*)", 1)
+    bare = lambda c: F.regexp_replace(c, r"[/*]+$", "")
+    shape = bare(pattern)
+    tries = F.concat(F.array(F.concat(root, shape, F.lit("/"))), F.transform(F.coalesce(catalogues, F.array().cast("array<string>")), lambda c: F.concat(root, bare(c), F.lit("/"))), F.array(probe))
+    other = F.filter(F.array(*map(F.lit, LANGUAGES)), lambda x: ~F.startswith(shape, F.regexp_replace(x, "/$", "")))
+    quoted = F.regexp_replace(shape, r"([.\\+*?\[\](){}^$|])", r"\\$1")
+    return F.struct(tries.alias("catalog"), F.array(F.concat(F.lit("re:"), quoted, F.lit("/[^/]+"))).alias("include"), F.concat(F.array(F.concat(shape, F.lit("/page/"))), other).alias("drop"))
+
+
+def crawlable(status: Column, pattern: Column) -> Column:
+    return (status == "ok") & (F.coalesce(pattern, F.lit("")) != "")

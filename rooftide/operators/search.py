@@ -177,3 +177,8 @@ def siblings(offers: DataFrame, limit: int = PER_PAGE) -> DataFrame:
     pairs = keyed.select(*keys, "id").join(other, keys).where("id <> sibling_id")
     again = Window.partitionBy("id").orderBy("place")
     return pairs.withColumn("place", F.row_number().over(again)).where(F.col("place") <= limit).select("id", "sibling_id", "place")
+
+
+def shown_rate(price: Column, area: Column, stored: Column) -> Column:
+    """The rate on a card: the stored one, else price by area, in whole euros."""
+    return F.round(F.coalesce(F.when(stored != 0, stored), F.try_divide(price, F.when(area != 0, area)))).cast("long")

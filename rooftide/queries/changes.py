@@ -196,3 +196,26 @@ def manual_is_sticky(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
     curated = read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id"), F.lit("manual").alias("matched_by"))
     return merge.keep_manual(docs, curated)
+
+
+@query("SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS repaired, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_totalprice END AS prev_price FROM orders")
+def deal_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "CASE WHEN o_orderkey % 3 = 0 THEN 'rent' ELSE 'sale' END AS old_deal", "'sale' AS deal", "o_totalprice AS price", "o_totalprice AS prev_price")
+    return merge.repair_deals(rows).select("id", "repaired", F.coalesce("prev_price", F.lit(-1.0)).alias("prev_price"))
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey AS offer_id, concat('r', o_orderkey % 7000) AS ref, concat('u', o_orderkey) AS url FROM orders WHERE o_orderkey % 2 = 0), e AS (SELECT concat('r', o_orderkey % 7000) AS ref, concat('u', o_orderkey) AS url FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey % 5 <> 0),
+m AS (SELECT e.ref, offer_id FROM e JOIN s USING (ref) UNION SELECT e.ref, offer_id FROM e JOIN s USING (url)) SELECT DISTINCT min(offer_id) AS offer_id FROM m GROUP BY ref HAVING count(*) = 1"""
+)
+def evidence_deactivates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS offer_id", "concat('r', o_orderkey % 7000) AS ref", "concat('u', o_orderkey) AS url", "o_orderkey % 2 = 0 AS is_active")
+    said = rows.where("offer_id % 97 = 0").selectExpr("ref", "url", "'unavailable' AS outcome", "offer_id % 5 <> 0 AS in_scope")
+    return merge.deactivate_with_evidence(rows, said)
+
+
+@query("SELECT count(*) FILTER (o_totalprice < prev) AS dropped, count(*) AS n FROM (SELECT o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev FROM orders)")
+def price_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = read(spark, sf_dir, "orders").withColumn("prev", F.lag("o_totalprice").over(w))
+    return rows.agg(F.count_if(merge.price_dropped(F.col("o_totalprice"), F.col("prev"))).alias("dropped"), F.count("*").alias("n"))

@@ -294,3 +294,16 @@ def top_per_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("kind").orderBy(F.desc("p_retailprice"), "id")
     rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"), "p_retailprice")
     return rows.withColumn("n", F.row_number().over(w)).where("n <= 3").select("id", "n", "kind")
+
+
+@query(f"WITH {LIVE_SQL}, {GEO_SQL} SELECT count(*) AS n, sum(round(price / area))::BIGINT AS rates FROM live JOIN geo USING (id) WHERE city_active")
+def city_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = search.with_geography(search.live(listings(spark, sf_dir)), geography(spark, sf_dir)).where("city_active")
+    rate = search.shown_rate(F.col("price"), F.col("area"), F.lit(None).cast("double"))
+    return rows.agg(F.count("*").alias("n"), F.sum(rate).alias("rates"))
+
+
+@query(f"WITH {LISTINGS_SQL}, {AGENCIES_SQL}, {GEO_SQL} SELECT city, deal, count(*) AS n, count(*) FILTER (price IS NULL) AS unpriced, count(DISTINCT agency_id) AS agencies, min(price) AS lowest, max(price) AS highest FROM listings JOIN geo USING (id) JOIN agencies USING (agency_id) WHERE is_active GROUP BY city, deal")
+def city_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = listings(spark, sf_dir).where("is_active").join(geography(spark, sf_dir), "id").join(agencies(spark, sf_dir), "agency_id")
+    return rows.groupBy("city", "deal").agg(F.count("*").alias("n"), F.count_if(F.col("price").isNull()).alias("unpriced"), F.countDistinct("agency_id").alias("agencies"), F.min("price").alias("lowest"), F.max("price").alias("highest"))
