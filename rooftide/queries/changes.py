@@ -205,12 +205,12 @@ def deal_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT o_orderkey AS offer_id, concat('r', o_orderkey % 7000) AS ref, concat('u', o_orderkey) AS url FROM orders WHERE o_orderkey % 2 = 0), e AS (SELECT concat('r', o_orderkey % 7000) AS ref, concat('u', o_orderkey) AS url FROM orders WHERE o_orderkey % 97 = 0 AND o_orderkey % 5 <> 0),
+    """WITH s AS (SELECT o_orderkey AS offer_id, concat('r', o_orderkey % 9001) AS ref, concat('u', o_orderkey) AS url FROM orders WHERE o_orderkey % 2 = 0), e AS (SELECT concat('r', o_orderkey % 9001) AS ref, concat('u', o_orderkey) AS url FROM orders WHERE o_orderkey % 9 = 0 AND o_orderkey % 5 <> 0),
 m AS (SELECT e.ref, offer_id FROM e JOIN s USING (ref) UNION SELECT e.ref, offer_id FROM e JOIN s USING (url)) SELECT DISTINCT min(offer_id) AS offer_id FROM m GROUP BY ref HAVING count(*) = 1"""
 )
 def evidence_deactivates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS offer_id", "concat('r', o_orderkey % 7000) AS ref", "concat('u', o_orderkey) AS url", "o_orderkey % 2 = 0 AS is_active")
-    said = rows.where("offer_id % 97 = 0").selectExpr("ref", "url", "'unavailable' AS outcome", "offer_id % 5 <> 0 AS in_scope")
+    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey AS offer_id", "concat('r', o_orderkey % 9001) AS ref", "concat('u', o_orderkey) AS url", "o_orderkey % 2 = 0 AS is_active")
+    said = rows.where("offer_id % 9 = 0").selectExpr("ref", "url", "'unavailable' AS outcome", "offer_id % 5 <> 0 AS in_scope")
     return merge.deactivate_with_evidence(rows, said)
 
 
