@@ -163,11 +163,16 @@ def _token(text: str, key: bytes, back: bool) -> str | None:
     return permute_text(text, key, "token", _HEX if re.fullmatch(r"[0-9a-f]+", text) else _SETS, back) if re.search(r"[0-9]", text) else None
 
 
+def _key_id(text: str, key: bytes, back: bool) -> str | None:
+    return text[:4] + permute_text(text[4:], key, "key id", back=back)
+
+
 #: Kinds in order of precedence: name, pattern (the value is group 1 if it has one), pseudonym or None if not valid.
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})(?![A-Za-z0-9-])")
 _NUMERIC = (
     ("secret", re.compile(r"(?i:password|passwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_+/-]{8,128})"), _token),
-    ("secret", re.compile(r"(?<![A-Za-z0-9])([0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"), _token),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])([0-9a-f]{32,128}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"), _token),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])(AKIA[0-9A-Z]{16})(?![A-Za-z0-9])"), _key_id),
     ("iban", re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"), _iban),
     ("ip", re.compile(r"(?<![\w.])(\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"), _ip),
     ("date", re.compile(r"(?<![\w./-])(\d{4}([-/.])\d{1,2}\2\d{1,2}|\d{1,2}([-/.])\d{1,2}\3\d{4})(?![\w/-]|\.\d)"), _date),
@@ -194,7 +199,7 @@ def find_and_replace(text: str, key: bytes, back: bool = False) -> tuple[str, li
 
     if "@" in text:
         look("email", _EMAIL, _email)
-    if _DIGIT.search(text):
+    if _DIGIT.search(text) or "AKIA" in text:
         for kind, pattern, make in _NUMERIC:
             look(kind, pattern, make)
     found.sort(key=lambda x: x[1])
