@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import identity, prices
 from ..functions.text import fold, is_distinctive, title_norm, undo_lookalikes
 from ..operators import fuzzy, geo, latest, merge, recon, report
+from ..operators.lineage import cut
 from ..sources import html
 
 # Words of titles that do not name a place.
@@ -93,7 +94,7 @@ def salvage_locations(offers: DataFrame, vocabulary: list[tuple[str, str]]) -> D
 def salvage_to_fixpoint(offers: DataFrame, vocabulary: list[tuple[str, str]], rounds: int = 5) -> DataFrame:
     """offers with locations filled in, recovered rows serving as evidence for the next round."""
     for _ in range(rounds):
-        found = salvage_locations(offers, vocabulary).select("id", F.col("location").alias("__found"))
+        found = cut(salvage_locations(offers, vocabulary).select("id", F.col("location").alias("__found")))
         if not found.head(1):
             break
         offers = offers.join(found, "id", "left").withColumn("location", F.coalesce(F.nullif("location", F.lit("")), "__found", F.lit(""))).drop("__found")

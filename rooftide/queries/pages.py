@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import recon, report
+from ..operators.lineage import shared_folder
 from ..sources import feeds, html
 from ..streaming import ingest
 from ._tables import LISTINGS_SQL, listings, read
@@ -171,8 +171,7 @@ def liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream runs to its end over the stored events; with append output the last windows would wait for later events, so
     the complete result is kept."""
-    folder = tempfile.mkdtemp(prefix="rooftide-stream-") if spark.sparkContext.master.startswith("local") else None
-    base = spark.conf.get("spark.checkpoint.dir", None) or folder
+    base = shared_folder(spark)
     events = read(spark, sf_dir, "events")
     source = f"{sf_dir}/events.parquet"
     source = source if os.path.isdir(source) else f"{sf_dir}/event[s].parquet"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prices, taxonomy
 from ..operators import recon
+from ..operators.lineage import cut
 from .html import extract
 
 MOST_PAGES = 600
@@ -83,11 +84,10 @@ def walk(pages: DataFrame, start: DataFrame, most: int = MOST_PAGES) -> DataFram
         depth += 1
         base = F.col("url")
         edge = edge.select("url").join(links, "url").where(recon.is_page_of(F.col("link"), base)).select(F.col("link").alias("url")).distinct()
-        edge = edge.join(reached.select("url"), "url", "left_anti").select("url", F.lit(depth).alias("depth"))
-        n = edge.count()
-        if not n:
+        edge = cut(edge.join(reached.select("url"), "url", "left_anti").select("url", F.lit(depth).alias("depth")))
+        if not edge.head(1):
             break
-        reached = reached.unionByName(edge)
+        reached = cut(reached.unionByName(edge))
         if reached.count() >= most:
             break
     return reached.orderBy("depth", "url").limit(most)

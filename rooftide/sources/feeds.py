@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_url, host, limited, slugify
+from ..operators.lineage import cut
 
 IMAGES_EACH, LEAST_IMAGE = 8, 3000
 # First bytes of image files.
@@ -49,10 +50,10 @@ def sitemap_entries(files: DataFrame, url: str = "url", xml: str = "xml") -> Dat
     roots = files.select(url).join(index.select(url), url, "left_anti")
     reached, edge = roots, roots
     while True:
-        edge = edge.withColumnRenamed(url, "from").join(index, "from").select(url).distinct().join(reached, url, "left_anti")
+        edge = cut(edge.withColumnRenamed(url, "from").join(index, "from").select(url).distinct().join(reached, url, "left_anti"))
         if not edge.head(1):
             break
-        reached = reached.unionByName(edge)
+        reached = cut(reached.unionByName(edge))
     pages = files.join(reached, url, "left_semi").where(~is_sitemap_index(F.col(xml)))
     blocks = pages.select(F.explode(F.regexp_extract_all(F.col(xml), F.lit(r"(?is)<url>(.*?)</url>"), 1)).alias("b"))
     loc = F.get(sitemap_locs(F.col("b")), F.lit(0))
