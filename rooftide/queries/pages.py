@@ -167,7 +167,7 @@ def liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").selectExpr("p_partkey AS id", status).select("id", recon.liveness(F.col("status")).alias("verdict"))
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream runs to its end over the stored events; with append output the last windows would wait for later events, so
     the complete result is kept."""
@@ -179,4 +179,4 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = f"windows_{abs(hash(sf_dir))}"
     run = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}-{os.urandom(4).hex()}").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
