@@ -103,20 +103,20 @@ def fit(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str
     rows = docs.where(training & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     totals = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     texts = rows.select(as_binary(text_col).alias("text"))
-    found = texts.mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n")).collect()
+    found = texts.mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(FEATURES + 1)
-    for feature, n in found:
-        seen[feature] = n
+    seen[found.column("feature").to_numpy()] = found.column("n").to_numpy()
     idf = np.log((1 + seen[-1]) / (1 + seen[:-1])).astype(np.float32) + 1
     each = min(SAMPLE_EACH, SAMPLE // max(1, len(totals)))
     share = F.lit(0.0)
     for lang, n in totals.items():
         share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, each / n))).otherwise(share)
     lot = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1 << 20)) / F.lit(1 << 20)
-    sample = rows.where(lot < share).select(as_binary(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(_sampled, "lang string, counts binary").collect()
+    sample = rows.where(lot < share).select(as_binary(text_col).alias("text"), F.col(lang_col).alias("lang")).mapInArrow(_sampled, "lang string, counts binary").toArrow()
     by_lang: dict[str, list] = {}
-    for lang, counts in sample:
+    for lang, counts in zip(sample.column("lang").to_pylist(), sample.column("counts").to_pylist(), strict=True):
         by_lang.setdefault(lang, []).append(np.frombuffer(counts, np.uint16))
+    del sample
     languages, centroids = [], []
     for lang in sorted(by_lang):
         centre = _cluster(_unit(np.array(by_lang[lang], np.float32), idf), CENTROIDS)
