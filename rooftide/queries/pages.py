@@ -69,10 +69,15 @@ def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", recon.page_title(F.col("html")).alias("title"), recon.charset(F.col("html")).alias("charset"))
 
 
-@query(None)
+_H1 = "regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"
+for _name, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+    _H1 = f"replace({_H1}, '{_name}', '{_sign}')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_H1}, '[ \\t\\n]+', ' ', 'g')) AS h1, len(regexp_extract_all(html, '<a href='))::INT AS n_links FROM pages")
 def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     read_pages = html.with_page(read(spark, sf_dir, "pages"))
-    return read_pages.select("page_id", F.col("page.h1").alias("h1"), F.length("page.content").alias("n_chars"), F.size("page.links").alias("n_links"))
+    return read_pages.select("page_id", F.col("page.h1").alias("h1"), F.size("page.links").alias("n_links"))
 
 
 @query(f"WITH h AS (SELECT page_id % 7 AS agency, array_to_string(list_slice(string_split({_HOST.format('url')}, '.'), -2, -1), '.') AS domain FROM pages), c AS (SELECT agency, domain, count(*) AS n FROM h GROUP BY ALL) SELECT agency, domain, n FROM (SELECT *, row_number() OVER (PARTITION BY agency ORDER BY n DESC, domain) AS place FROM c) WHERE place = 1")
