@@ -11,8 +11,8 @@
 4. Clusters compare full sets exhaustively, except within what is linked already.
 
 Groups too large for one task (nodes that stay large, large clusters) are compared with a few hubs first, then
-what no hub has linked with everything in the group, block by block. So no link between different sets is lost in
-them, and a group of near copies costs a few comparisons a row.
+block by block: what no hub has linked with everything in the group, and rows of hubs that nothing connects with each
+other. So no link between different sets is lost in them, and a group of near copies costs a few comparisons a row.
 """
 
 from __future__ import annotations
@@ -164,10 +164,10 @@ def _within(batches: Iterator[pa.RecordBatch], compare: Callable) -> Iterator[pa
 
 
 def _with_hubs(batches: Iterator[pa.RecordBatch], compare: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows (id, payload, hubs: array of (id, payload)) -> (a: the row's id, b: a hub like it, else null). Of hubs that
-    are alike among themselves, a row that is no hub is tied to one."""
+    """Rows (key, id, payload, hubs: array of (id, payload)) -> (key, id, hubs: the ids of hubs like it, sorted). Of hubs
+    that are alike among themselves, a row that is no hub is tied to one."""
     for batch in batches:
-        a, b = [], []
+        tied = []
         for i, own, hubs in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "payload", "hubs")), strict=True):
             like = compare([own, *(h["payload"] for h in hubs)])
             is_hub = any(h["id"] == i for h in hubs)
@@ -175,21 +175,41 @@ def _with_hubs(batches: Iterator[pa.RecordBatch], compare: Callable) -> Iterator
             for j in 1 + np.flatnonzero(like(0, np.arange(1, len(hubs) + 1))):
                 if is_hub or not (to and like(int(j), np.array(to)).any()):
                     to.append(int(j))
-            ids = [hubs[j - 1]["id"] for j in to]
-            a += [i] * max(1, len(ids))
-            b += ids or [i if is_hub else None]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            tied.append(sorted({hubs[j - 1]["id"] for j in to} | ({i} if is_hub else set())))
+        key, ids = (batch.column(batch.schema.get_field_index(c)) for c in ("key", "id"))
+        yield pa.RecordBatch.from_arrays([key, ids, pa.array(tied, pa.list_(pa.int64()))], ["key", "id", "hubs"])
+
+
+def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups (key, ties: array of (hubs, rows)) -> (key, hub, label, rank, top). Hubs that rows connect share a label,
+    the smallest hub, and a rank: from 1 for the set of hubs with the fewest rows to top."""
+    out: list[list] = [[] for _ in range(5)]
+    for batch in batches:
+        for key, ties in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "ties")), strict=True):
+            label = {h: h for t in ties for h in t["hubs"]}
+            for t in ties:
+                own = {label[h] for h in t["hubs"]}
+                label = {h: min(own) if x in own else x for h, x in label.items()}
+            rows = dict.fromkeys(label.values(), 0)
+            for t in ties:
+                rows[label[t["hubs"][0]]] += t["rows"]
+            rank = {x: r for r, x in enumerate(sorted(rows, key=lambda x: (rows[x], x)), 1)}
+            for h, x in label.items():
+                for column, value in zip(out, (key, h, x, rank[x], len(rank)), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.int32()) for c in out[3:])], ["key", "hub", "label", "rank", "top"])
+        out = [[] for _ in range(5)]
 
 
 def _open_blocks(batches: Iterator[pa.RecordBatch], compare: Callable) -> Iterator[pa.RecordBatch]:
-    """Rows of two blocks of (id, payload), each open row compared with both blocks: edges that connect what is alike, no
-    more than rows."""
+    """Rows of two blocks of (id, payload, label), each open row compared with both blocks, except rows of its label:
+    edges that connect what is alike, no more than rows."""
     for batch in batches:
         pairs = []
         for left, right in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("open", "block")), strict=True):
             ids = np.array([x["id"] for x in (*left, *right)])
             like = compare([x["payload"] for x in (*left, *right)])
-            label = np.unique(ids, return_inverse=True)[1]
+            label = np.unique(np.array([x["label"] for x in (*left, *right)]), return_inverse=True)[1]
             for i in range(len(left)):
                 js = np.flatnonzero(label != label[i])
                 js = js[like(i, js)] if js.size else js
@@ -205,23 +225,34 @@ def link_groups(small: DataFrame, compare: Callable) -> DataFrame:
 
 
 def link_large(large: DataFrame, compare: Callable) -> DataFrame:
-    """Edges within groups of any size: each row with the group's hubs, then rows without a hub with the whole group."""
+    """Edges within groups of any size: each row with the group's hubs; then, block by block, rows without a hub (rank 0)
+    with the whole group, and rows of sets of hubs that nothing connects yet (rank 1 and up) with those of higher rank."""
     large = materialize(large, "large")
     firsts = [F.min(F.struct(F.xxhash64(F.lit(i), "id").alias("h"), "id", "payload")).alias(f"h{i}") for i in range(HUBS)]
     hubs = large.groupBy("key").agg(*firsts).select("key", F.array_distinct(F.array(*(F.struct(f"h{i}.id", f"h{i}.payload") for i in range(HUBS)))).alias("hubs"))
     hubs = materialize(hubs, "hubs")
-    tried = materialize(large.join(hubs, "key").select("id", "payload", "hubs").mapInArrow(lambda it: _with_hubs(it, compare), "a long, b long"), "hubbed")
-    edges = tried.where("b IS NOT NULL AND a <> b")
-    alone = large.join(tried.where("b IS NULL").select(F.col("a").alias("id")).distinct(), "id", "left_semi")
-    if not alone.head(1):
+    tried = large.join(hubs, "key").select("key", "id", "payload", "hubs").mapInArrow(lambda it: _with_hubs(it, compare), "key long, id long, hubs array<long>")
+    tried = materialize(tried, "hubbed")
+    edges = tried.select(F.col("id").alias("a"), F.explode("hubs").alias("b")).where("a <> b")
+    # Few rows a group: its hubs' subsets.
+    ties = tried.where("size(hubs) > 0").groupBy("key", "hubs").agg(F.count("*").alias("rows")).groupBy("key").agg(F.collect_list(F.struct("hubs", "rows")).alias("ties"))
+    ranks = materialize(ties.mapInArrow(_ranked, "key long, hub long, label long, rank int, top int"), "ranks")
+    tops = ranks.select("key", "top").distinct()
+    rest = ranks.where("top > 1").select("key").union(tried.where("size(hubs) = 0").select("key")).distinct()
+    if not rest.head(1):
         return edges
+    own = tried.join(materialize(rest, "rest"), "key").withColumn("hub", F.get("hubs", F.lit(0)))
+    own = own.join(ranks.drop("top"), ["key", "hub"], "left").join(materialize(tops, "tops"), "key")
+    own = own.select("key", "id", F.coalesce("label", "id").alias("label"), F.coalesce("rank", F.lit(0)).alias("rank"), "top")
+    ranked = materialize(large.join(own, ["key", "id"]), "ranked")
     blocks = lambda df, rows, name: (
-        df.join(df.groupBy("key").agg(F.ceil(F.count("*") / rows).alias("parts")), "key")
-        .groupBy("key", F.pmod(F.xxhash64("id"), "parts").alias("part"))
-        .agg(F.collect_list(F.struct("id", "payload")).alias(name))
+        df.join(df.groupBy("key", "rank").agg(F.ceil(F.count("*") / rows).alias("parts")), ["key", "rank"])
+        .groupBy("key", F.col("rank").alias(f"{name}_rank"), F.pmod(F.xxhash64("id"), "parts").alias("part"))
+        .agg(F.collect_list(F.struct("id", "payload", "label")).alias(name))
         .drop("part")
     )
-    pairs = blocks(alone, OPEN_A_BLOCK, "open").join(blocks(large, ROWS_A_BLOCK, "block"), "key").select("open", "block")
+    pairs = blocks(ranked.where("rank < top"), OPEN_A_BLOCK, "open").join(blocks(ranked, ROWS_A_BLOCK, "block"), "key")
+    pairs = pairs.where("open_rank < block_rank OR block_rank = 0 AND open_rank = 0").select("open", "block")
     return edges.unionByName(pairs.repartition(F.rand(1)).mapInArrow(lambda it: _open_blocks(it, compare), _EDGES))
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from common import corpus, documents, empty, sentence
 
@@ -111,3 +112,39 @@ def test_connected_components(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in linked}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_links_between_rows_of_unlike_hubs(spark, monkeypatch):
+    """Versions of a page, neighbours alike: the outer ones are many and hold all hubs, the inner ones few."""
+    monkeypatch.setattr(near_dedup, "ROWS_A_BLOCK", 20)
+    monkeypatch.setattr(near_dedup, "OPEN_A_BLOCK", 7)
+    rows, want = [], {}
+    for key, versions in ((1, (0, 1, 2, 3)), (2, (0, 1, 3)), (3, (0, 1, 2, 3, 5))):
+        numbers = [(v, n) for v in versions for n in range(2 if v in (1, 2) else 40)]
+        sets = {1000 * key + at: np.array(sorted({*range(100 * v, 100 * v + 1000), 10_000 * key + at}), np.uint64) for at, (v, n) in enumerate(numbers)}
+        rows += [(key, i, bytearray(x.tobytes())) for i, x in sets.items()]
+        names = list(sets)
+        root = {i: i for i in names}
+        for a in names:
+            for b in names:
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True)) if root[a] != root[b] else 0
+                if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    old, new = max(root[a], root[b]), min(root[a], root[b])
+                    root = {i: new if x == old else x for i, x in root.items()}
+        want |= root
+    edges = near_dedup.link_large(spark.createDataFrame(rows, "key long, id long, payload binary"), near_dedup._set_pass(80))
+    assert {r.id: r.component for r in connected_components(edges).collect()} == want
+    assert len(set(want.values())) == 5
+
+
+def test_chain_of_versions_matches_brute_force(spark, monkeypatch):
+    for name, value in {"NODE_ROWS": 12, "CLUSTER_SHINGLES": 3000, "ROWS_A_BLOCK": 20, "OPEN_A_BLOCK": 7}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(4)
+    words = ["w%d" % i for i in range(460)]
+    texts = []
+    for v, n in enumerate((40, 2, 2, 40)):
+        texts += near_group(rng, " ".join(words[30 * v : 30 * v + 370]), n, 1)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    assert got == brute(rows, 4)
