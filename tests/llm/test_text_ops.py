@@ -155,5 +155,22 @@ def test_decontamination(spark, monkeypatch):
     assert decontaminate.contaminated(empty(spark), bench).count() == 0
 
 
+def test_short_items_in_long_passages(spark):
+    """Many short items: copies, and paraphrases with two words in five replaced, all found as by brute force."""
+    rng = random.Random(17)
+    made = lambda n: [("".join(rng.choice("bcdfgklmnprstv") + rng.choice("aeiou") for _ in range(3))) for _ in range(n)]
+    items = [(i, made(5 + i % 8)) for i in range(1200)]
+    swapped = [[made(1)[0] if j % 5 in (1, 3) else w for j, w in enumerate(t)] for _, t in items]
+    rows = [(i, made(200)) for i in range(100)] + [(10_000 + i, made(90) + t + made(90)) for i, t in items] + [(20_000 + i, made(90) + t + made(90)) for i, t in enumerate(swapped)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.contaminated(docs, spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")).collect() if r.contaminated}
+    want = {10_000 + i: [i] for i, _ in items}
+    for i, t in enumerate(swapped):
+        if brute_lcs(items[i][1], t) >= decontaminate.ANSWER * len(t):
+            want[20_000 + i] = [i]
+    assert len(want) > 1800 and {k: v for k, v in got.items() if k in want} == want
+    assert not [k for k in got if k < 10_000]
+
+
 def test_sentence_helper():
     assert len(sentence(random.Random(0), "fr", 5).split()) == 5
