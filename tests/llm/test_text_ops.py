@@ -172,5 +172,23 @@ def test_short_items_in_long_passages(spark):
     assert not [k for k in got if k < 10_000]
 
 
+@pytest.mark.parametrize("edits", [0, 2])
+def test_a_document_in_a_third_of_the_rows_that_holds_a_paraphrase(spark, edits):
+    rng = random.Random(23)
+    made = lambda n: [("".join(rng.choice("bcdfgklmnprstv") + rng.choice("aeiou") for _ in range(3))) for _ in range(n)]
+    items = [made(16) for _ in range(20)]
+    hot = made(70) + [made(1)[0] if j % 4 == 1 else w for j, w in enumerate(items[7])] + made(70)
+    rows = [(i, made(rng.randrange(20, 400))) for i in range(400)]
+    for i in range(200):
+        text = list(hot)
+        for _ in range(edits):
+            text[rng.choice([*range(70), *range(86, 156)])] = made(1)[0]
+        rows.append((1000 + i, text))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.contaminated(docs, bench).collect() if r.contaminated}
+    assert got == {1000 + i: [7] for i in range(200)}
+
+
 def test_sentence_helper():
     assert len(sentence(random.Random(0), "fr", 5).split()) == 5
