@@ -19,6 +19,8 @@ K, WINDOW = 16, 16
 #: Ranges of ids hold about so many documents, and there are at most so many ranges; rows are streamed, so a range
 #: may be of any size.
 RANGE_ROWS, RANGES = 2000, 20_000
+#: Longer texts are taken in overlapping spans of so many grams, as a place has 24 bits beside its hash.
+SPAN = 1 << 24
 _BASE = 0x9E3779B97F4A7C15
 
 Prints = tuple[np.ndarray, np.ndarray]
@@ -40,19 +42,26 @@ def winnow(points: np.ndarray) -> Prints:
     while step < K:
         h = h[:-step] * np.uint64(power) + h[step:]
         step, power = step * 2, power * power % 2**64
-    bits = np.uint64(max(24, int(len(h)).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    # The place counts down in the low bits: among equal hashes the rightmost is the smallest.
-    v = (mix(h) & ~low) | (low - np.arange(len(h), dtype=np.uint64))
-    if len(v) < WINDOW:
-        m = v.min(keepdims=True)
-    else:
-        m, step = v, 1
-        while step < WINDOW:
-            m = np.minimum(m[:-step], m[step:])
-            step *= 2
-        m = m[np.append(True, m[1:] != m[:-1])]
-    return m >> np.uint64(24), (low - (m & low)).astype(np.int64)
+    low = np.uint64(SPAN - 1)
+    hashes, places = [], []
+    # Every window lies in one span.
+    for start in range(0, max(1, len(h) - WINDOW + 1), SPAN - WINDOW + 1):
+        part = h[start : start + SPAN]
+        # The place counts down in the low bits: among equal hashes the rightmost is the smallest.
+        v = (mix(part) & ~low) | (low - np.arange(len(part), dtype=np.uint64))
+        if len(v) < WINDOW:
+            m = v.min(keepdims=True)
+        else:
+            m, step = v, 1
+            while step < WINDOW:
+                m = np.minimum(m[:-step], m[step:])
+                step *= 2
+            m = m[np.append(True, m[1:] != m[:-1])]
+        hashes.append(m >> np.uint64(24))
+        places.append((low - (m & low)).astype(np.int64) + start)
+    m, at = np.concatenate(hashes), np.concatenate(places)
+    new = np.append(True, at[1:] != at[:-1])
+    return m[new], at[new]
 
 
 def _hashes(prints: Prints) -> np.ndarray:

@@ -190,5 +190,15 @@ def test_a_document_in_a_third_of_the_rows_that_holds_a_paraphrase(spark, edits)
     assert got == {1000 + i: [7] for i in range(200)}
 
 
+def test_hashes_of_very_long_texts_hold_no_places():
+    """Over 2**24 grams: a passage gets the same hashes as in a short text."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(97, 123, 2000).astype(np.uint32)
+    long = np.concatenate([rng.integers(97, 123, 2**24 + 1000).astype(np.uint32), passage])
+    inner, at = winnowing.winnow(passage)
+    found, places = winnowing.winnow(long)
+    assert set(inner[(at > 100) & (at < 1900)].tolist()) <= set(found[places > 2**24].tolist())
+
+
 def test_sentence_helper():
     assert len(sentence(random.Random(0), "fr", 5).split()) == 5
