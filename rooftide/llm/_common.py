@@ -32,12 +32,40 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Tables that this process has written and not dropped.
+_WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """Cuts the lineage: df as a table in the shared folder, which survives lost executors. by: a column of folders."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*([by] if by else [])).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    _WRITTEN.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of materialize() that nothing reads any more; what is not such a table is left alone."""
+    for df in tables:
+        if (path := getattr(df, "_table_path", None)) in _WRITTEN:
+            _delete(df.sparkSession, path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Removes all tables that the operators of this process have written. Results are lazy and read these tables, so this
+    is for the caller, once the results are written."""
+    for path in list(_WRITTEN):
+        _delete(spark, path)
 
 
 def held(id_col: str, modulus: int, remainder: int) -> Column:
@@ -115,24 +143,69 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+#: Texts are hashed in pieces of about so many bytes, cut at white space.
+PIECE = 1 << 22
+
+
+def _pieces(blob: np.ndarray) -> Iterator[tuple[int, int]]:
+    at = 0
+    while at < len(blob):
+        to = min(at + PIECE, len(blob))
+        if to < len(blob):
+            gaps = np.flatnonzero(_SPACE[blob[at:to]])
+            while not gaps.size and to < len(blob):  # a word that is longer than a piece
+                low, to = to, min(to + PIECE, len(blob))
+                gaps = np.flatnonzero(_SPACE[blob[low:to]]) + (low - at)
+            to = at + int(gaps[-1]) + 1 if gaps.size else to
+        yield at, to
+        at = to
+
+
 def word_hashes(texts: list[bytes], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts, in order, and each text's number of words. With prefixes, a row for each
     word: its own hash, then those of its beginnings of so many bytes.
 
-    A word's polynomial hash is a difference of prefix sums, shifted back to place 0."""
+    A word's polynomial hash is a difference of prefix sums, shifted back to place 0. Long texts are hashed in pieces, so
+    beside 8 bytes for each hash a text takes a few bytes for each of its own; only a single word of more than PIECE bytes
+    takes about 50 for each."""
     blob = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = _SPACE[blob]
-    edge = np.flatnonzero(np.diff(space, prepend=True))
-    starts, ends = edge[::2], edge[1::2]
-    n = len(blob) + 1
-    sums = np.zeros(n, np.uint64)
-    np.cumsum((blob.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n)[: n - 1], out=sums[1:])
-    shift, before = _powers(_BACK, n)[starts], sums[starts]
-    each = [mix((sums[to] - before) * shift + (to - starts).astype(np.uint64)) for to in (ends, *(np.minimum(ends, starts + p) for p in prefixes))]
-    hashes = np.stack(each, axis=1) if prefixes else each[0]
+    found, places = [], []
+    for at, to in _pieces(blob):
+        part = blob[at:to]
+        edge = np.flatnonzero(np.diff(_SPACE[part], prepend=True))
+        starts, ends = edge[::2], edge[1::2]
+        if len(ends) < len(starts):
+            ends = np.append(ends, len(part))
+        n = len(part) + 1
+        sums = np.zeros(n, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n)[: n - 1], out=sums[1:])
+        shift, before = _powers(_BACK, n)[starts], sums[starts]
+        each = [mix((sums[x] - before) * shift + (x - starts).astype(np.uint64)) for x in (ends, *(np.minimum(ends, starts + p) for p in prefixes))]
+        found.append(np.stack(each, axis=1) if prefixes else each[0])
+        places.append(starts + at)
     bounds = np.cumsum([len(x) + 1 for x in texts])
-    return hashes, np.diff(np.searchsorted(starts, bounds), prepend=0)
+    return np.concatenate(found), np.diff(np.searchsorted(np.concatenate(places), bounds), prepend=0)
+
+
+def byte_pieces(text: bytes) -> Iterator[bytes]:
+    """A text in pieces of about PIECE bytes, cut behind white space."""
+    if len(text) <= PIECE:
+        yield text
+        return
+    blob = np.frombuffer(text, np.uint8)
+    for at, to in _pieces(blob):
+        yield text[at:to]
+
+
+def lot(*columns: str | Column) -> Column:
+    """A number from 0 to 1 drawn for each row by its values."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(1 << 30)
 
 
 def as_binary(name: str) -> Column:
     return F.col(name).cast("binary").alias(name)
+
+
+def carried(docs: DataFrame, carry: tuple[str, ...], results: tuple[str, ...]) -> list[str]:
+    """The columns to carry, without those whose names the results take."""
+    return [c for c in carry if c.lower() not in results]
