@@ -2,13 +2,19 @@
 
 A value's digits and letters are one number in a mixed radix; a keyed Feistel network permutes that domain. A value
 maps to the same pseudonym in every document and in every way of writing its separators, the map can be undone with
-the key, and pseudonyms pass the same validation as the values (check digits, calendar dates, octets)."""
+the key, and pseudonyms pass the same validation as the values (check digits, calendar dates, octets).
+
+Dates are permuted as days, in every form by one map. It keeps whether the day of the month is over 12, which is what
+tells a written day from a month, so a pseudonym reads in the order in which it was written. Days and months come out
+with two digits. A number found beside other digits ("4111 1111 1111 1111 123") gets the pseudonym it has elsewhere;
+should that and the digits beside it happen to be valid together, the key does not turn it back there."""
 
 from __future__ import annotations
 
 import datetime
 import hashlib
 import re
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROUNDS = 8
+ROUNDS, TOKEN_BLOCK = 8, 128
 
 
 def permute(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
@@ -102,7 +108,7 @@ def _phone(text: str, key: bytes, back: bool) -> str | None:
         return refill(text, "1" + permute_text(d[1:], key, "nanp", back=back, good=_nanp))
     if len(d) == 10 and not plus and _nanp(d):
         return refill(text, permute_text(d, key, "nanp", back=back, good=_nanp))
-    if plus and 8 <= len(d) <= 15 and d[0] in "2345678" + "9":
+    if plus and 8 <= len(d) <= 15 and d[0] in "23456789":
         return refill(text, d[:2] + permute_text(d[2:], key, f"e164{d[:2]}", back=back))
     return None
 
@@ -136,16 +142,16 @@ def _date(text: str, key: bytes, back: bool) -> str | None:
     orders = [(a, b, c)] if year_first else [(c, b, a), (c, a, b)] if mark != "/" else [(c, a, b), (c, b, a)]
     for k, (y, m, d) in enumerate(orders):
         try:
-            day = datetime.date(int(y), int(m), int(d)).toordinal()
+            old = datetime.date(int(y), int(m), int(d))
         except ValueError:
             continue
+        day = old.toordinal()
         if not _FIRST <= day <= _LAST:
             return None
-        # Written day and month must read the same way again, so the walk goes on until they do.
         while True:
             day = _FIRST + permute(day - _FIRST, _LAST - _FIRST + 1, key, "date", back)
             new = datetime.date.fromordinal(day)
-            if k == 0 or (new.day > 12 if not year_first else True):
+            if (new.day > 12) == (old.day > 12):
                 break
         parts = {"y": f"{new.year}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
         form = "ymd" if year_first else "dmy" if (mark != "/") == (k == 0) else "mdy"
@@ -160,7 +166,15 @@ def _email(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _token(text: str, key: bytes, back: bool) -> str | None:
-    return permute_text(text, key, "token", _HEX if re.fullmatch(r"[0-9a-f]+", text) else _SETS, back) if re.search(r"[0-9]", text) else None
+    """Secrets of any length, permuted in blocks of TOKEN_BLOCK characters behind a prefix that names the issuer."""
+    if not re.search(r"[0-9]", text):
+        return None
+    if issuer := re.match(r"gh[pousr]_|sk-", text):
+        rest = text[issuer.end() :]
+        return issuer[0] + (_token(rest, key, back) or rest)
+    sets = _HEX if re.fullmatch(r"[0-9a-f]+", text) else _SETS
+    blocks = range(0, len(text), TOKEN_BLOCK)
+    return "".join(permute_text(text[at : at + TOKEN_BLOCK], key, f"token{at or ''}", sets, back) for at in blocks)
 
 
 def _key_id(text: str, key: bytes, back: bool) -> str | None:
@@ -170,8 +184,8 @@ def _key_id(text: str, key: bytes, back: bool) -> str | None:
 #: Kinds in order of precedence: name, pattern (the value is group 1 if it has one), pseudonym or None if not valid.
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})(?![A-Za-z0-9-])")
 _NUMERIC = (
-    ("secret", re.compile(r"(?i:password|passwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_+/-]{8,128})"), _token),
-    ("secret", re.compile(r"(?<![A-Za-z0-9])([0-9a-f]{32,128}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})(?![A-Za-z0-9])"), _token),
+    ("secret", re.compile(r"(?i:password|passwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?([A-Za-z0-9_+/-]{8,})"), _token),
+    ("secret", re.compile(r"(?<![A-Za-z0-9])([0-9a-f]{32,}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})(?![A-Za-z0-9])"), _token),
     ("secret", re.compile(r"(?<![A-Za-z0-9])(AKIA[0-9A-Z]{16})(?![A-Za-z0-9])"), _key_id),
     ("iban", re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"), _iban),
     ("ip", re.compile(r"(?<![\w.])(\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"), _ip),
@@ -185,17 +199,44 @@ Span = tuple[str, int, int, str]
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("pseudonym", T.StringType())]))
 
 
+#: Groups of digits by which cards are written.
+_CARD_FORMS = ((4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4))
+
+
+def _runs(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """What a match may be, as (start, end): all of it; for cards, runs of its groups in a card's form, or one group; for
+    IBANs, its first groups. Longer runs first, so that a number is found beside others."""
+    yield 0, len(text)
+    cuts = [m.span() for m in re.finditer(r"[^ -]+", text)]
+    n = len(cuts)
+    if kind == "iban":
+        for j in range(n - 1, 0, -1):
+            yield 0, cuts[j - 1][1]
+    if kind == "card":
+        sizes = tuple(b - a for a, b in cuts)
+        for size in range(n - 1, 0, -1):
+            for i in range(n - size + 1):
+                if sizes[i : i + size] in _CARD_FORMS or size == 1 and 13 <= sizes[i] <= 19:
+                    yield cuts[i][0], cuts[i + size - 1][1]
+
+
 def find_and_replace(text: str, key: bytes, back: bool = False) -> tuple[str, list[Span]]:
     """The text with its values replaced, and (kind, start, end, pseudonym) for each, by start in the given text."""
     found: list[Span] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # sorted, without overlap
+
+    def free(a: int, b: int) -> bool:
+        at = bisect_left(taken, (a, a))
+        return (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b)
 
     def look(kind: str, pattern: re.Pattern, make: Callable) -> None:
         for m in pattern.finditer(text):
-            a, b = m.span(1)
-            if not any(a < y and x < b for x, y in taken) and (new := make(m[1], key, back)) is not None:
-                found.append((kind, a, b, new))
-                taken.append((a, b))
+            a = m.start(1)
+            for x, y in _runs(kind, m[1]):
+                if free(a + x, a + y) and (new := make(m[1][x:y], key, back)) is not None:
+                    found.append((kind, a + x, a + y, new))
+                    insort(taken, (a + x, a + y))
+                    break
 
     if "@" in text:
         look("email", _EMAIL, _email)
