@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ._common import NO_ID, SPACES, ascii_lower, materialize
 
-#: approx_top_k watches so many hashes; a hash counts as hot from this share of all lines on.
-HOT_KEYS, HOT_SHARE = 1000, 1 / 2000
+#: A hash is hot from so many lines on, or from this share of all lines if that is less (but never below HOT_LEAST).
+HOT_LINES, HOT_SHARE, HOT_LEAST = 1_000_000, 1 / 2000, 64
+#: Up to so many hot hashes are broadcast; beyond, Spark joins their table.
+BROADCAST_HOT = 100_000
 
 
 def _lines(text: Column) -> Column:
@@ -21,7 +23,7 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A line's key is the line without ASCII white space at both ends, A-Z lowered. A line of a key with min_chars code
     points or more is dropped if a smaller id holds the key. Keys are compared by 128 bits of hash. Hot keys are
-    found by a sketch over all lines, resolved by a pre-aggregated minimum and never shuffled; all others are range
+    counted exactly, resolved by a pre-aggregated minimum and never dealt by key; all others are range
     partitioned by hash and sorted by id and position, so that one pass meets each key's first document first.
     A null id counts as the largest id, a null text as one empty line; repeated rows are the same document; an empty
     table gives no rows. Other columns are not read."""
@@ -37,26 +39,22 @@ def line_keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         .select("id_key", "text_hash", "pos", "h.h1", "h.h2")
     )
     lines = materialize(lines, "lines")  # hashes only; the passes below need not split the texts again
-    top = lines.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h1, {HOT_KEYS}, {HOT_KEYS * 10})").alias("top")).first()
-    hot = [x["item"] for x in top["top"] or [] if x["count"] >= max(64, top["n"] * HOT_SHARE)]
+    n = lines.count()
+    bound = max(HOT_LEAST, min(HOT_LINES, n * HOT_SHARE))
+    firsts = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id_key").alias("first")).where(F.col("n") >= bound)
+    firsts = materialize(firsts.select("h1", "h2", "first"), "hot")  # n / bound rows at most
+    n_hot = firsts.count()
+    known = F.broadcast(firsts) if n_hot <= BROADCAST_HOT else firsts
     by_key = Window.partitionBy("h1", "h2").orderBy("id_key", "pos")
-    if not hot:
-        cold, dropped_hot = lines, None
-    else:
-        # At most HOT_KEYS hashes: a fixed bound for this broadcast and the next.
-        names = docs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, hot))).alias("h1"))
-        cold = lines.join(F.broadcast(names), "h1", "left_anti")
-        hot_lines = lines.join(F.broadcast(names), "h1", "left_semi")
-        first = hot_lines.groupBy("h1", "h2").agg(F.min("id_key").alias("first"))
-        dropped_hot = hot_lines.join(F.broadcast(first), ["h1", "h2"]).where("id_key > first").select("id_key", "text_hash", "pos")
+    cold = lines.join(known, ["h1", "h2"], "left_anti") if n_hot else lines
     dropped = (
         cold.repartitionByRange("h1", "h2")
         .withColumn("first", F.first("id_key").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
         .where("id_key > first")
         .select("id_key", "text_hash", "pos")
     )
-    if dropped_hot is not None:
-        dropped = dropped.unionByName(dropped_hot)
+    if n_hot:
+        dropped = dropped.unionByName(lines.join(known, ["h1", "h2"]).where("id_key > first").select("id_key", "text_hash", "pos"))
     marks = dropped.groupBy("id_key", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
     at = F.col("dropped")
     starts = F.filter(at, lambda x, i: (i == 0) | (F.get(at, i - 1) != x - 1))
@@ -71,6 +69,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marks = line_keep_bitmaps(docs, id_col, text_col, min_chars).select(
         F.col("id_key").alias("__id"), F.col("text_hash").alias("__hash"), F.col("dropped").alias("__dropped")
     )
+    marks = materialize(marks, "marks")  # a table, so that Spark may split a row that is repeated everywhere
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumns({"__id": F.coalesce(F.col(id_col), F.lit(NO_ID)), "__hash": F.xxhash64(text)})
     lines = _lines(text)
