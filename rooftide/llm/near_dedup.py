@@ -5,7 +5,9 @@
 2. TREES independent trees branch the representatives: a root's children are named by the tree's own minwise token,
    and a node of over NODE_ROWS rows branches again by two further tokens, down to DEPTH or until a child keeps
    over DENSE of its parent's rows. A pair at similarity s meets in a tree with probability s or little less, so at
-   0.8 it is missed by all with 0.2 ** TREES.
+   0.8 it is missed by all with 0.2 ** TREES. The first OWN levels have tokens of their own in every tree; deeper ones,
+   which only nodes of many half-alike texts reach, borrow those of other trees, none twice on a path, and every fourth
+   of their nodes branches once only, so that rows do not multiply on the way down.
 3. Nodes compare their members exhaustively by signature; a pair passes above `threshold - SLACK` (4 standard
    errors). Only what joins two clusters is emitted. Connected candidates form closed clusters.
 4. Clusters compare full sets exhaustively, except within what is linked already.
@@ -22,16 +24,18 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import NO_ID, as_binary, groups, materialize, mix, seeds, text_chunks, word_hashes
 from .components import connected_components
 
-TREES, DEPTH, NODE_ROWS, SIGNATURE, SLACK, DENSE = 10, 5, 1500, 80, 0.2, 0.7
-#: Clusters of up to so many shingles in all are compared in one task.
+TREES, OWN, DEPTH, NODE_ROWS, SLACK, DENSE = 8, 5, 20, 600, 0.2, 0.7
+SIGNATURE = TREES + 2 * TREES * OWN
+#: Clusters of up to so many shingles in all, and NODE_ROWS rows, are compared in one task.
 CLUSTER_SHINGLES = 4_000_000
-HUBS, ROWS_A_BLOCK, OPEN_A_BLOCK = 4, 1000, 250
+#: Blocks hold about so many rows and bytes (one row at least); open blocks a quarter of the bytes.
+HUBS, ROWS_A_BLOCK, OPEN_A_BLOCK, BLOCK_BYTES = 4, 1000, 250, 32 << 20
 _SEEDS = seeds(SIGNATURE, 11)
 
 
@@ -74,8 +78,18 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         )
 
 
+#: Rows without an id count as documents with the largest ids, one for each text; ids from here on are theirs.
+NULL_IDS = NO_ID - (1 << 40)
+
+
+def vertex(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What a row counts as in links: its id, or without one a number of its text from NULL_IDS on."""
+    own = F.lit(NULL_IDS) + F.pmod(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.lit((1 << 40) - 1))
+    return F.coalesce(F.col(id_col).cast("long"), own)
+
+
 def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    narrow = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    narrow = docs.select(vertex(id_col, text_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     return narrow.mapInArrow(lambda it: _sketch(it, k), "id long, n long, s1 long, s2 long, sig binary")
 
 
@@ -245,13 +259,14 @@ def link_large(large: DataFrame, compare: Callable) -> DataFrame:
     own = own.join(ranks.drop("top"), ["key", "hub"], "left").join(materialize(tops, "tops"), "key")
     own = own.select("key", "id", F.coalesce("label", "id").alias("label"), F.coalesce("rank", F.lit(0)).alias("rank"), "top")
     ranked = materialize(large.join(own, ["key", "id"]), "ranked")
-    blocks = lambda df, rows, name: (
-        df.join(df.groupBy("key", "rank").agg(F.ceil(F.count("*") / rows).alias("parts")), ["key", "rank"])
+    parts = lambda rows, limit: F.ceil(F.greatest(F.count("*") / rows, F.sum(F.octet_length("payload")) / limit))
+    blocks = lambda df, rows, limit, name: (
+        df.join(df.groupBy("key", "rank").agg(parts(rows, limit).alias("parts")), ["key", "rank"])
         .groupBy("key", F.col("rank").alias(f"{name}_rank"), F.pmod(F.xxhash64("id"), "parts").alias("part"))
         .agg(F.collect_list(F.struct("id", "payload", "label")).alias(name))
         .drop("part")
     )
-    pairs = blocks(ranked.where("rank < top"), OPEN_A_BLOCK, "open").join(blocks(ranked, ROWS_A_BLOCK, "block"), "key")
+    pairs = blocks(ranked.where("rank < top"), OPEN_A_BLOCK, BLOCK_BYTES // 4, "open").join(blocks(ranked, ROWS_A_BLOCK, BLOCK_BYTES, "block"), "key")
     pairs = pairs.where("open_rank < block_rank OR block_rank = 0 AND open_rank = 0").select("open", "block")
     return edges.unionByName(pairs.repartition(F.rand(1)).mapInArrow(lambda it: _open_blocks(it, compare), _EDGES))
 
@@ -283,11 +298,13 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
         if not big.head(1):
             break
         if depth < DEPTH:
-            width = (SIGNATURE - TREES) // (2 * DEPTH)
-            tokens = F.array(*(F.expr(_token(j)) for j in range(TREES + 2 * width * depth, TREES + 2 * width * (depth + 1))))
-            at = lambda b: F.element_at(F.col("tokens"), (2 * F.pmod(F.col("tree"), F.lit(width)) + b + 1).cast("int"))
+            # Block (tree, level) of two tokens; a tree's deeper levels are those of the trees after it.
+            tokens = F.array(*(F.expr(_token(TREES + 2 * TREES * (depth % OWN) + j)) for j in range(2 * TREES)))
+            owner = F.pmod(F.col("tree") + depth // OWN, F.lit(TREES))
+            keys = [F.xxhash64("key", F.lit(depth), F.lit(b), F.element_at("tokens", (2 * owner + b + 1).cast("int"))) for b in (0, 1)]
+            twice = F.lit(depth < OWN) | (F.pmod(F.xxhash64("key", F.lit("twice")), F.lit(4)) > 0)
             branched = big.select("key", "id", "tree", "rows").join(reps.select("id", tokens.alias("tokens")), "id")
-            rows = branched.select("id", "tree", F.explode(F.array(*(F.xxhash64("key", F.lit(b), at(b)) for b in (0, 1)))).alias("key"), F.col("rows").alias("above"))
+            rows = branched.select("id", "tree", F.explode(F.when(twice, F.array(*keys)).otherwise(F.array(keys[0]))).alias("key"), F.col("rows").alias("above"))
     small, large = reduce(DataFrame.unionByName, leaves), reduce(DataFrame.unionByName, dense)
     edges = link_groups(small.join(sigs, "id").select("key", "id", "payload"), compare)
     if large.head(1):
@@ -306,40 +323,48 @@ def _payloads(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id, n_shingles, component_id (smallest id reachable by links), kept, class_id
-    (smallest id with the same set).
+    (smallest id with the same set), vertex.
 
     Links: 100 * intersection >= percent * union of the k-word shingle sets. Null and wordless texts have no set and
-    no links. Rows with one id are one document: they share its links. A null id counts as the largest and comes back
-    as null. An empty table gives no rows. Other columns are not read."""
+    no links. Rows with one id are one document: they share its links. Rows without an id are documents of their own,
+    one for each text, with ids larger than all others; such ids come back as null. An empty table gives no rows. Other
+    columns are not read. A text takes about ten bytes of memory for each of its own."""
     base = materialize(sketches(docs, k, id_col, text_col), "sketch")
     reps = materialize(base.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n")), "reps")
     clusters = materialize(connected_components(candidate_edges(reps, percent / 100)), "clusters")
     members = reps.select("id", "s1", "s2", "n").join(clusters, "id")
-    weight = materialize(members.groupBy("component").agg(F.sum("n").alias("weight")), "weights")
-    members = materialize(members.join(weight, "component").select("id", "component", "s1", "s2", "weight"), "members")
-    texts = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("id"), as_binary(text_col))
+    weight = members.groupBy("component").agg(((F.sum("n") > CLUSTER_SHINGLES) | (F.count("*") > NODE_ROWS)).alias("large"))
+    members = materialize(members.join(materialize(weight, "weights"), "component").select("id", "component", "s1", "s2", "large"), "members")
+    texts = docs.select(vertex(id_col, text_col).alias("id"), as_binary(text_col))
     full = (
-        members.select("id", "component", "s1", "s2", (F.col("weight") > CLUSTER_SHINGLES).alias("large"))
-        .join(texts.hint("merge"), "id")  # the same plan at every size
+        members.select("id", "component", "s1", "s2").join(texts.hint("merge"), "id")  # the same plan at every size
         .select("id", "component", F.col(text_col).alias("text"), "s1", "s2")
         .mapInArrow(lambda it: _payloads(it, k), "key long, id long, payload binary, n long")
         .select("key", "id", "payload")
     )
     compare = _set_pass(percent)
-    heavy = members.where(F.col("weight") > CLUSTER_SHINGLES).select(F.col("component").alias("key")).distinct()
+    heavy = members.where("large").select(F.col("component").alias("key")).distinct()
     if heavy.head(1):
         full = materialize(full, "sets")
         edges = link_groups(full.join(heavy, "key", "left_anti"), compare).unionByName(link_large(full.join(heavy, "key", "left_semi"), compare))
     else:
         edges = link_groups(full, compare)
+    # Rows of one id with different sets are one document, so they tie the sets' classes together.
+    several = base.where("n > 0").groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("low"), F.max(F.struct("s1", "s2")).alias("high")).where("low <> high").select("id")
+    several = materialize(several, "several")
+    if several.head(1):
+        own = base.where("n > 0").join(several, "id").join(reps.select("s1", "s2", F.col("id").alias("b")), ["s1", "s2"])
+        edges = edges.unionByName(own.select(F.col("id").alias("a"), "b"))
     linked = connected_components(edges)
     classes = reps.select("s1", "s2", F.col("id").alias("class_id")).join(linked.withColumnRenamed("id", "class_id"), "class_id", "left")
-    own = F.col("id") != NO_ID
-    component = F.coalesce("component", "class_id", "id")
-    return base.join(classes, ["s1", "s2"], "left").select(
-        F.when(own, F.col("id")).alias(id_col),
+    real = lambda c: F.when(c < NULL_IDS, c)
+    component, first = F.coalesce("component", "class_id", "id"), F.coalesce("class_id", "id")
+    # A table, so that Spark may split a set that many rows share.
+    return base.join(materialize(classes, "classes"), ["s1", "s2"], "left").select(
+        real(F.col("id")).alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(component != NO_ID, component).alias("component_id"),
+        real(component).alias("component_id"),
         (F.col("id") == component).alias("kept"),
-        F.when(F.coalesce("class_id", "id") != NO_ID, F.coalesce("class_id", "id")).alias("class_id"),
+        real(first).alias("class_id"),
+        F.col("id").alias("vertex"),
     )
