@@ -156,6 +156,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         bounds = np.array([NO_ID])
     shared = docs.sparkSession.sparkContext.broadcast(bounds)  # RANGES numbers at most
     dealt = narrow.mapInArrow(lambda it: _dealt(it, shared.value), "part long, next byte, id long, text binary")
-    ordered = dealt.repartition("part").sortWithinPartitions("part", "next", F.desc("id"), "text")
+    tasks = max(len(bounds), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = dealt.repartition(tasks, "part").sortWithinPartitions("part", "next", F.desc("id"), "text")
     out = ordered.mapInArrow(_compared, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_col)
