@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime
 import hashlib
 import random
 from collections import Counter
@@ -60,6 +61,28 @@ def test_compare_with_next(spark, monkeypatch):
     assert one.near_next == 1.0
 
 
+def test_likeness_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(winnowing, "RANGE_ROWS", 9)
+    rng = random.Random(12)
+    base = sentence(rng, "en", 80)
+    rows = [(i, base[: rng.randrange(len(base))] + sentence(rng, "en", rng.randrange(0, 60)) if i % 3 else ["", None, "short"][i // 3 % 3]) for i in range(40)]
+    got = {r.doc_id: r for r in winnowing.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def chosen(text):
+        if len(text) < winnowing.K:
+            return {text} if text else set()
+        return {text[i : i + winnowing.K] for i in brute_winnow(text)}
+
+    def like(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for at, (i, text) in enumerate(rows):
+        text, other = text or "", rows[at - 1][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + other[:half]
+        assert got[i].near_edited == pytest.approx(like(chosen(text), chosen(edited))) and got[i].near_next == pytest.approx(like(chosen(text), chosen(other)))
+
+
 def test_equal_texts_have_equal_fingerprints(spark):
     got = {r.doc_id: r for r in winnowing.compare_with_next(documents(spark).dropDuplicates(["doc_id"]).where("doc_id IS NOT NULL")).collect()}
     assert got[50].fingerprint == got[3].fingerprint == got[51].fingerprint != got[4].fingerprint
@@ -86,6 +109,59 @@ def test_pseudonyms_keep_format_link_and_round_trip():
     assert pii.find_and_replace("x +18355556426", KEY)[0][2:] == "".join(c for c in found[0][3] if c.isdigit() or c == "+")
 
 
+def test_a_date_has_one_pseudonym_in_every_form():
+    """Every day of 12 years, in all the forms in which it can be read."""
+    image = {}
+    for at in range(datetime.date(1980, 1, 1).toordinal(), datetime.date(1992, 1, 1).toordinal(), 3):
+        day = datetime.date.fromordinal(at)
+        forms = ["%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y", "%d-%m-%Y", "%m/%d/%Y"] + (["%d/%m/%Y", "%m.%d.%Y", "%m-%d-%Y"] if day.day > 12 else [])
+        found = set()
+        for form in forms:
+            text = f"on {day.strftime(form)} at"
+            new, ((kind, *_),) = pii.find_and_replace(text, KEY)
+            assert kind == "date" and pii.find_and_replace(new, KEY, back=True)[0] == text
+            found.add(datetime.datetime.strptime(new[3:-3], form).date())
+        assert len(found) == 1, (day, found)
+        image[found.pop()] = day
+    assert len(image) == len(range(datetime.date(1980, 1, 1).toordinal(), datetime.date(1992, 1, 1).toordinal(), 3))
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [("4111 1111 1111 1111 12/27", "4111 1111 1111 1111"), ("7 4111 1111 1111 1111", "4111 1111 1111 1111"), ("BE68 5390 0754 7034 BIC", "BE68 5390 0754 7034"), ("token=" + "a1" * 150, "a1" * 150), ("f0" * 100, "f0" * 100), ("sk-" + "Ab1" * 40, "sk-" + "Ab1" * 40)],
+)
+def test_values_beside_others_and_long_secrets(text, value):
+    new, ((_, a, b, own),) = pii.find_and_replace(text, KEY)
+    assert text[a:b] == value and len(own) == len(value) and new == text[:a] + own + text[b:]
+    assert pii.find_and_replace(new, KEY, back=True)[0] == text
+
+
+def brute_find(text):
+    """Every kind in turn over all matches; a match that touches an earlier one does not count."""
+    spans = []
+    for kind, pattern, make in (("email", pii._EMAIL, pii._email), *pii._NUMERIC):
+        for m in pattern.finditer(text):
+            for x, y in pii._runs(kind, m[1]):
+                a, b = m.start(1) + x, m.start(1) + y
+                if all(b <= s or e <= a for _, s, e, _ in spans) and make(text[a:b], KEY, False) is not None:
+                    spans.append((kind, a, b, make(text[a:b], KEY, False)))
+                    break
+    out = text
+    for _, a, b, new in sorted(spans, key=lambda x: -x[1]):
+        out = out[:a] + new + out[b:]
+    return out, sorted(spans, key=lambda x: x[1])
+
+
+def test_pseudonymise_matches_brute_force(spark):
+    rng = random.Random(4)
+    values = [*PRIVATE.replace(", ", "\n").split("\n"), "10.0.0.1", "2020-02-30", "31.12.1999", "1234 5678 9012 3456", "jane@x.io", "plain", "+359 88 123 4567", "GB82 WEST 1234 5698 7654 32 and"]
+    rows = [(i, " ".join(rng.choice(values) for _ in range(rng.randrange(0, 25)))) for i in range(120)] + [(500, "".join(f"u{i}@h{i}.com;" for i in range(3000)))]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.text, [tuple(x) for x in r.pii_spans]) == brute_find(dict(rows)[r.doc_id])
+
+
 @pytest.mark.parametrize("text", ["4111 1111 1111 1112", "version 1.2.3", "2023-13-45", "999.1.1.1", "IBAN DE00 3704 0044 0532 0130 00", "666-12-3456", "1234567890123456", "a@b", "order 12345", ""])
 def test_what_is_not_valid_stays(text):
     assert pii.find_and_replace(text, KEY) == (text, [])
@@ -172,6 +248,54 @@ def test_short_items_in_long_passages(spark):
     assert not [k for k in got if k < 10_000]
 
 
+def test_directions_are_those_of_the_svd(monkeypatch):
+    monkeypatch.setattr(decontaminate, "RANK", 6)
+    rng = np.random.default_rng(1)
+    a = rng.normal(size=(80, 12)) * 0.7 ** np.arange(12) @ rng.normal(size=(12, 50))
+    a += rng.normal(size=a.shape) * 1e-3
+    q = np.linalg.qr(a.T @ a @ rng.normal(size=(50, 12)))[0]
+    v, s = decontaminate.directions(q, a.T @ (a @ q))
+    _, want, right = np.linalg.svd(a)
+    assert s == pytest.approx(want[:6], rel=1e-2) and (np.diff(s) <= 0).all()
+    assert np.abs((v * right[:6].T).sum(axis=0)) == pytest.approx(np.ones(6), abs=1e-2)
+
+
+def test_decontamination_matches_brute_force(spark, monkeypatch):
+    """Whole results, long texts in parts: all pairs of documents and items, by subsequences of windows and of whole texts."""
+    for name, value in {"WORDS_AT_ONCE": 64, "BLOCKS_AT_ONCE": 3, "COSINES_AT_ONCE": 40}.items():
+        monkeypatch.setattr(decontaminate, name, value)
+    rng = random.Random(31)
+    made = lambda n: [("".join(rng.choice("bcdfgklmnprstv") + rng.choice("aeiou") for _ in range(3))) for _ in range(n)]
+    items = [made(rng.randrange(6, 30)) for _ in range(25)]
+    rows = []
+    for i in range(160):
+        text = made(rng.randrange(0, 260))
+        if i % 2:
+            item, keep = rng.choice(items), rng.random()
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = [w if rng.random() < keep else made(1)[0] for w in item]
+        rows.append((i if i % 9 else None, " ".join(text), str(i)))
+    rows += [rows[3], (None, None, "none"), (7, "", "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, name string").selectExpr("*", "0.5 AS best_ratio", "name AS item_ids")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"), ("doc_id", "name", "item_ids"))
+    assert got.columns == ["doc_id", "name", "contaminated", "item_ids", "best_ratio", "n_candidates"]
+    found = {r.name: (r.doc_id, r.contaminated, r.item_ids) for r in got.collect()}
+    assert got.count() == len(rows)
+
+    def like(item, text):
+        return text and brute_lcs(item, text) / len(item) >= decontaminate.ANSWER  # the whole item is its answer here
+
+    n_found = 0
+    for i, text, name in rows:
+        words = (text or "").split()
+        own, flag, ids = found[name]
+        sure = [k for k, item in enumerate(items) if any(like(item, words[a : a + 2 * len(item)]) for a in range(0, len(words), max(1, len(item) // 4)))]
+        may = [k for k, item in enumerate(items) if like(item, words)]
+        assert own == i and flag == bool(ids) and set(sure) <= set(ids) <= set(may)
+        n_found += bool(ids)
+    assert 25 < n_found < 80
+
+
 @pytest.mark.parametrize("edits", [0, 2])
 def test_a_document_in_a_third_of_the_rows_that_holds_a_paraphrase(spark, edits):
     rng = random.Random(23)
