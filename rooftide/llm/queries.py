@@ -56,8 +56,8 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held("doc_id", 5, 0))
+    docs, labels, training = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held("doc_id", 5, 0)
+    model = toxicity.calibrate(docs, labels, training, toxicity.fit(docs, labels, training))
     scored = toxicity.score(docs, model, ("doc_id",), lang_col="lang")
     return scored.select("doc_id", held("doc_id", 5, 0).alias("held_out"), "score", "predicted", "flagged")
 
