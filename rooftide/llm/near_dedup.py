@@ -260,12 +260,14 @@ def link_large(large: DataFrame, compare: Callable) -> DataFrame:
     own = own.select("key", "id", F.coalesce("label", "id").alias("label"), F.coalesce("rank", F.lit(0)).alias("rank"), "top")
     ranked = materialize(large.join(own, ["key", "id"]), "ranked")
     parts = lambda rows, limit: F.ceil(F.greatest(F.count("*") / rows, F.sum(F.octet_length("payload")) / limit))
-    blocks = lambda df, rows, limit, name: (
-        df.join(df.groupBy("key", "rank").agg(parts(rows, limit).alias("parts")), ["key", "rank"])
-        .groupBy("key", F.col("rank").alias(f"{name}_rank"), F.pmod(F.xxhash64("id"), "parts").alias("part"))
-        .agg(F.collect_list(F.struct("id", "payload", "label")).alias(name))
-        .drop("part")
-    )
+
+    def blocks(df: DataFrame, rows: int, limit: int, name: str) -> DataFrame:
+        counts = materialize(df.groupBy("key", "rank").agg(parts(rows, limit).alias("parts")), "parts")
+        cut = df.join(counts, ["key", "rank"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+        # Dealt by block: a group's rows must not stay together where the join has dealt them by group.
+        cut = cut.repartition("key", "rank", "part").groupBy("key", "rank", "part").agg(F.collect_list(F.struct("id", "payload", "label")).alias(name))
+        return cut.select("key", F.col("rank").alias(f"{name}_rank"), name)
+
     pairs = blocks(ranked.where("rank < top"), OPEN_A_BLOCK, BLOCK_BYTES // 4, "open").join(blocks(ranked, ROWS_A_BLOCK, BLOCK_BYTES, "block"), "key")
     pairs = pairs.where("open_rank < block_rank OR block_rank = 0 AND open_rank = 0").select("open", "block")
     return edges.unionByName(pairs.repartition(F.rand(1)).mapInArrow(lambda it: _open_blocks(it, compare), _EDGES))
