@@ -67,14 +67,45 @@ def number(text: Column) -> Column:
     return clean.try_cast("double")
 
 
+#: What groups digits beside points and commas: white space, apostrophes.
+GROUP_MARKS = r"(?U)[\s'’]+"
+
+
 def strict_number(text: Column) -> Column:
-    """A whole text that is one plain decimal number with optional groups of three; anything else is null."""
-    flat = F.regexp_replace(F.trim(text), r"(?U)\s", "")
-    grouped = F.when(flat.rlike(r"^-?\d{1,3}(,\d{3})+(\.\d+)?$"), F.replace(flat, F.lit(","), F.lit(""))).when(
-        flat.rlike(r"^-?\d{1,3}(\.\d{3})+(,\d+)?$"), F.replace(F.replace(flat, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    """A whole text that is one number; anything else is null. With comma and point the one further right is decimal; alone,
+    either groups if three digits follow it every time, else it is the decimal point."""
+    flat = F.regexp_replace(text, GROUP_MARKS, "")
+    comma, point = F.instr(F.reverse(flat), ","), F.instr(F.reverse(flat), ".")
+    bare = lambda x, mark: F.replace(x, F.lit(mark), F.lit(""))
+    as_point = lambda x: F.replace(x, F.lit(","), F.lit("."))
+    clean = (
+        F.when((comma > 0) & (point > 0), F.when(comma < point, as_point(bare(flat, "."))).otherwise(bare(flat, ",")))
+        .when(comma > 0, F.when(flat.rlike(r"^\d{1,3}(,\d{3})+$"), bare(flat, ",")).otherwise(as_point(flat)))
+        .when(flat.rlike(r"^\d{1,3}(\.\d{3})+$"), bare(flat, "."))
+        .otherwise(flat)
     )
-    plain = F.when(flat.rlike(r"^-?\d+([.,]\d+)?$"), F.replace(flat, F.lit(","), F.lit(".")))
-    return F.coalesce(grouped, plain).try_cast("decimal(20,4)")
+    return F.when(flat.rlike(r"^-?\d+([.,]\d+)*$"), clean.try_cast("decimal(20,4)"))
+
+
+def first_number(text: Column) -> Column:
+    """The first run of digits and group marks, read strictly."""
+    return strict_number(F.nullif(F.regexp_extract(text, r"(?U)\d[\d\s.,'’]*", 0), F.lit("")))
+
+
+# Words for the floor at street level.
+GROUND_WORDS = ("ground", "ground floor", "партер")
+
+
+def single_integer(text: Column) -> Column:
+    """A whole number, also as '3 of 8'; the ground floor is 0; anything else is null."""
+    whole = F.nullif(F.regexp_extract(text, r"^(-?\d+)(?:\s+of\s+\d+)?$", 1), F.lit("")).try_cast("int")
+    return F.when(F.lower(text).isin(*GROUND_WORDS), F.lit(0)).otherwise(whole)
+
+
+def bounded_integer(text: Column, low: int = -3, high: int = 100) -> Column:
+    """A whole number within bounds; the ground floor is 0."""
+    bare = F.trim(text)
+    return F.when(F.lower(bare) == "партер", F.lit(0)).otherwise(within(F.when(bare.rlike(r"^-?\d+$"), bare.try_cast("int")), low, high))
 
 
 def money(text: Column) -> Column:

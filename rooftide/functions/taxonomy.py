@@ -59,12 +59,32 @@ ROOM_WORDS = (
     (3, r"(?iu)(тристаен|трехкомнатн|трёхкомнатн|three[- ]room)"),
     (4, r"(?iu)(четиристаен|четырехкомнатн|четырёхкомнатн|four[- ]room)"),
 )
+# Counts of rooms and bedrooms, studios, rents and sales that are over, in page text.
 BEDROOMS = r"(?iu)(\d)\s*[-\s]?\s*(?:спалн|bedroom|schlafzimmer)"
 ROOMS_DIGIT = r"(?iu)(\d)\s*[-\s]?(?:х\s*)?(?:стаен|стайн|комнатн|комнат|room)"
 STUDIO = r"(?iu)(студи|studio|monolocale|einzimmer)"
 RENT = r"(?iu)(под наем|наем|аренда|for rent|rental|на нощувка|per night)"
 SOLD = r"(?iu)(прода(?:н|ден)|sold|резервиран|зарезервирован|reserved|капаро|снят с продаж)"
-ORDINALS = ("ground", "first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth")
+# Floors in words, from the first up.
+ORDINALS = (
+    "first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh", "twelfth", "thirteenth",
+    "fourteenth", "fifteenth", "sixteenth", "seventeenth", "eighteenth", "nineteenth", "twentieth",
+)
+LOWEST_FLOOR, HIGHEST_FLOOR = -3, 100
+# The second taxonomy, of sources that name all rooms: names by number, then kinds in order.
+ROOM_NAMES = {1: "Едностаен апартамент", 2: "Двустаен апартамент", 3: "Тристаен апартамент", 4: "Четиристаен апартамент"}
+MANY_ROOMS = "Многостаен апартамент"
+NAMED_ROOMS = (("едностаен", 1), ("двустаен", 2), ("тристаен", 3), ("четиристаен", 4))
+OTHER_KINDS = (
+    ("Мезонет", "мезонет"), ("Студио", "студио"), ("Апартамент", "апартамент"), ("Къща", "къща|вила"), ("Парцел", "парцел"),
+    ("Магазин", "магазин"), ("Промишлено помещение", r"пром(?:ишлено|\.)?\s+помещение"), ("Склад", "склад"), ("Офис", "офис"),
+    ("Гараж", "гараж|паркомясто"),
+)
+# What a source says about pets.
+PET_FACT = (
+    r"(?iu)((?:Не се допускат|Без|Допускат се|Приемат се)\s+домашни любимци|"
+    r"Домашни любимци\s+(?:са )?(?:разрешени|позволени|не са позволени))"
+)
 
 
 def first_match(text: Column, rules, otherwise: Column | None = None) -> Column:
@@ -134,12 +154,29 @@ def is_sold(text: Column) -> Column:
 
 
 def floor_number(text: Column) -> Column:
-    """'third floor' -> 3, 'minus third floor' -> -3, 'floor 7' -> 7."""
+    """A whole text that names a floor: 'third floor' -> 3, 'minus third floor' -> -3, '7th floor' -> 7, 'ground' -> 0."""
     low = F.lower(F.trim(text))
-    name = F.regexp_extract(low, r"(?:minus\s+)?([a-z]+)\s+floor", 1)
-    at = F.array_position(F.array(*map(F.lit, ORDINALS)), name) - 1
-    plain = F.coalesce(F.when(at >= 0, at), F.nullif(F.regexp_extract(low, r"(\d{1,3})", 1), F.lit("")).try_cast("int"))
-    return F.when(low.startswith("minus"), -plain).otherwise(plain).cast("int")
+    at = F.array_position(F.array(*map(F.lit, ORDINALS)), F.regexp_extract(low, r"^(?:minus )?([a-z]+) floor$", 1))
+    named = F.when(at > 0, F.when(low.startswith("minus "), -at).otherwise(at))
+    digits = F.nullif(F.regexp_extract(low, r"^(-?\d+)(?:st|nd|rd|th)? floor$", 1), F.lit("")).try_cast("int")
+    digits = F.when(digits.between(LOWEST_FLOOR, HIGHEST_FLOOR), digits)
+    return F.when(low.isin("ground", "ground floor"), F.lit(0)).otherwise(F.coalesce(named, digits)).cast("int")
+
+
+def kind_and_rooms(text: Column) -> Column:
+    """struct(kind, rooms) by the second taxonomy; rooms count all rooms, and what is not known keeps its first 40 letters."""
+    low = F.lower(text)
+    digit = F.nullif(F.regexp_extract(low, r"(?<!\d)([1-9])\s*[- ]?\s*стаен", 1), F.lit("")).try_cast("int")
+    rooms = F.coalesce(first_match(low, [(n, t) for t, n in NAMED_ROOMS]), digit)
+    names = F.create_map(*(F.lit(x) for pair in ROOM_NAMES.items() for x in pair))
+    other = first_match(low, OTHER_KINDS)
+    kind = F.when(rooms.isNotNull(), F.coalesce(F.try_element_at(names, rooms), F.lit(MANY_ROOMS))).otherwise(F.coalesce(other, F.left(text, F.lit(40))))
+    return F.struct(kind.alias("kind"), F.coalesce(rooms, F.when(other == "Студио", F.lit(1))).alias("rooms"))
+
+
+def pet_fact(text: Column) -> Column:
+    """The first statement about pets, as it stands; '' without one."""
+    return F.coalesce(F.regexp_extract(text, PET_FACT, 1), F.lit(""))
 
 
 def completeness(missing: Column) -> Column:

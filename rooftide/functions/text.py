@@ -23,8 +23,8 @@ TITLE_STOPWORDS = (
     "комплекс", "complex", "апартамент", "apartment", "резиденс", "residence", "квартира", "flat", "студио", "studio",
     "kompleks", "apartament", "rezidens", "kvartira",
 )
-# Latin letters that look like Cyrillic ones.
-LOOKALIKES = {"a": "а", "c": "с", "e": "е", "k": "к", "m": "м", "o": "о", "p": "р", "t": "т", "x": "х", "y": "у", "b": "в", "h": "н"}
+# Cyrillic letters that look like Latin ones.
+LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h"}
 
 
 def _bases() -> dict[str, str]:
@@ -102,7 +102,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def undo_lookalikes(text: Column) -> Column:
-    """In words that mix scripts, Latin look-alikes become Cyrillic letters."""
+    """In words that mix scripts, Cyrillic look-alikes become the Latin letters that they stand for; other words stay."""
     table = LOOKALIKES | {k.upper(): v.upper() for k, v in LOOKALIKES.items()}
     mixed = lambda w: w.rlike("[A-Za-z]") & w.rlike(r"\p{IsCyrillic}")
     return F.array_join(F.transform(F.split(text, " "), lambda w: F.when(mixed(w), translate(w, table)).otherwise(w)), " ")

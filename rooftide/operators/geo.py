@@ -38,15 +38,20 @@ def phrase_grams(text: Column, longest: int) -> Column:
     return F.filter(F.array_distinct(F.concat(*runs)), lambda x: x != "")
 
 
+def _longest(found: DataFrame, by: list[str]) -> DataFrame:
+    """(by, alias, place) of found without aliases that another alias of the same text contains. One aggregate: what a text
+    matches is no more than the vocabulary."""
+    grouped = found.groupBy(*by).agg(F.collect_set(F.struct("alias", "place")).alias("all"))
+    inside = lambda x: F.exists("all", lambda y: (y["alias"] != x["alias"]) & has_phrase(y["alias"], x["alias"]))
+    return grouped.select(*by, F.explode(F.filter("all", lambda x: ~inside(x))).alias("x")).select(*by, "x.alias", "x.place")
+
+
 def alias_matches(texts: DataFrame, aliases: DataFrame, longest: int, keys: list[str] | None = None) -> DataFrame:
     """(id, alias, place): aliases (keys, alias, place) in the normalised texts (id, keys, text) at word borders. Word runs
     meet aliases by equality; an alias that another found one contains does not count."""
     keys = keys or []
     runs = texts.select("id", *keys, F.explode(phrase_grams(F.col("text"), longest)).alias("alias"))
-    found = runs.join(aliases, [*keys, "alias"])
-    every = found.groupBy("id").agg(F.collect_set("alias").alias("all"))
-    inner = F.exists("all", lambda x: (x != F.col("alias")) & has_phrase(x, F.col("alias")))
-    return found.join(every, "id").where(~inner).select("id", *keys, "alias", "place").distinct()
+    return _longest(runs.join(aliases, [*keys, "alias"]), ["id", *keys])
 
 
 def resolve(offers: DataFrame, cities: DataFrame, aliases: DataFrame, longest: int = 4) -> DataFrame:
@@ -86,10 +91,7 @@ def alias_candidates(texts: DataFrame, aliases: DataFrame, longest: int) -> Data
     """As alias_matches within a city, but ambiguous aliases count only after a prefix word."""
     runs = texts.select("id", "city", "text", F.explode(phrase_grams(F.col("text"), longest)).alias("alias"))
     ok = ~F.col("alias").isin(*NEEDS_PREFIX) | F.exists(lit_array(PREFIXES), lambda p: has_phrase(F.col("text"), F.concat(p, F.lit(" "), F.col("alias"))))
-    found = runs.join(aliases, ["city", "alias"]).where(ok)
-    every = found.groupBy("id").agg(F.collect_set("alias").alias("all"))
-    inner = F.exists("all", lambda x: (x != F.col("alias")) & has_phrase(x, F.col("alias")))
-    return found.join(every, "id").where(~inner).select("id", "alias", "place").distinct()
+    return _longest(runs.join(aliases, ["city", "alias"]).where(ok), ["id"])
 
 
 def adjacent_to(chosen: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -105,3 +107,31 @@ def first_longest_alias(text: Column, aliases: list[tuple[str, str]]) -> Column:
     for alias, name in sorted(aliases, key=lambda x: len(x[0])):
         out = F.when(F.contains(text, F.lit(alias)), F.lit(name)).otherwise(out)
     return out
+
+
+# First halves of names that many places share.
+QUALIFIERS = (
+    "sveti", "svety", "saint", "st", "sv", "svetoy", "svyatoy", "свети", "св", "святой", "златни", "zlatni", "golden", "слънчев",
+    "sunny", "солнечный", "стар", "old", "нов", "new", "k", "s",
+)
+
+
+def distinctive_words(aliases: list[tuple[str, str]]) -> dict[str, str]:
+    """word -> name: words of four letters or more that the aliases of one place alone hold."""
+    owners: dict[str, set[str]] = {}
+    for alias, name in aliases:
+        for word in alias.split():
+            if len(word) >= 4 and word not in QUALIFIERS:
+                owners.setdefault(word, set()).add(name)
+    return {w: min(names) for w, names in owners.items() if len(names) == 1}
+
+
+def first_longest_alias_or_word(text: Column, aliases: list[tuple[str, str]]) -> Column:
+    """As first_longest_alias; where no alias is found, the place of the first word that only its aliases hold. For texts that
+    somebody reads back, not for ingestion."""
+    known = distinctive_words(aliases)
+    if not known:
+        return first_longest_alias(text, aliases)
+    table = F.create_map(*(F.lit(x) for pair in sorted(known.items()) for x in pair))
+    loose = F.get(F.filter(F.transform(words(text), lambda w: F.try_element_at(table, w)), lambda x: x.isNotNull()), F.lit(0))
+    return F.coalesce(first_longest_alias(text, aliases), loose)

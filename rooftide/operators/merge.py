@@ -70,17 +70,19 @@ def rekeyed(state: DataFrame, incoming: DataFrame, scope: list[str], key: str, w
     return incoming.join(claims.join(single, [*scope, weak]).select(*scope, key, "old_key"), [*scope, key], "left")
 
 
-def merge(state: DataFrame, incoming: DataFrame, keys: list[str], tracked: list[str], run_date: Column, policy: Policy = SHEET, price: str | None = None) -> DataFrame:
+def merge(state: DataFrame, incoming: DataFrame, keys: list[str], tracked: list[str], run_date: Column, policy: Policy = SHEET, price: str | None = None, run: str | None = None) -> DataFrame:
     """One row per key of either side: keys, tracked (new values), outcome (new, changed, unchanged, gone, returned,
     absent), is_active, first_seen, last_seen, last_changed, times_seen, prev_price (with price) and changes (array of field,
     old_value, new_value).
 
     state: keys, tracked, is_active, first_seen, last_seen, last_changed, times_seen. Both sides have unique keys. Rows that
-    the incoming side lacks are retired only under a policy that says so; partial reads use one that does not."""
+    the incoming side lacks are retired only under a policy that says so; partial reads use one that does not. run: the
+    incoming column with each row's own run date; run_date then counts for rows that are missing."""
     types = dict(state.select(*tracked).dtypes)
     old = state.select(*keys, F.struct(*[c for c in state.columns if c not in keys]).alias("o"))
-    fresh = incoming.select(*keys, F.struct(*(F.col(c).cast(types[c]).alias(c) for c in tracked)).alias("i"))
+    fresh = incoming.select(*keys, F.struct(*(F.col(c).cast(types[c]).alias(c) for c in tracked), *([F.col(run).alias("__run")] if run else [])).alias("i"))
     both = old.join(fresh, keys, "full_outer")
+    run_date = F.coalesce("i.__run", run_date) if run else run_date
     here, there = F.col("o").isNotNull(), F.col("i").isNotNull()
 
     def value(c: str) -> Column:
@@ -129,7 +131,7 @@ def history(merged: DataFrame, keys: list[str], run_date: Column, policy: Policy
         .when(F.col("outcome") == "returned", F.concat(F.array(line("returned", "is_active", "0", "1")), moved))
         .when(F.col("outcome") == "changed", moved)
     )
-    return merged.select(*keys, F.explode(own).alias("x")).select(*keys, "x.*", run_date.alias("changed_on"))
+    return merged.select(*keys, run_date.alias("changed_on"), F.explode(own).alias("x")).select(*keys, "x.*", "changed_on")
 
 
 def sync_counts(merged: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -156,15 +158,38 @@ def known_urls(discovered: DataFrame, stored: DataFrame, url: str = "url") -> Da
     return discovered.join(stored.where(F.col(url) != "").select(url), url, "left_anti")
 
 
-def single_matches(refs: DataFrame, stored: DataFrame) -> DataFrame:
+def single_matches(refs: DataFrame, stored: DataFrame, path: str | None = None) -> DataFrame:
     """(ref, offer_id, ambiguous): stored rows by reference or by address, each as a join of its own. refs: ref, url;
-    stored: offer_id, ref, url. Two rows for one reference are ambiguous, and nothing may be changed then."""
-    by_ref = refs.where("ref <> ''").join(stored.select("offer_id", "ref"), "ref").select("ref", "offer_id")
+    stored: offer_id, ref, url. Two rows for one reference are ambiguous, and nothing may be changed then.
+
+    A stored reference also fits if it ends in the wanted digits and no digit stands before them, as in 'code 123'. path: a
+    pattern whose first group is the reference in a stored address; such addresses fit by it."""
+    wanted = refs.where("ref <> ''")
+    tail = F.regexp_extract("ref", r"([0-9]+)$", 1)
+    by_ref = wanted.join(stored.select("offer_id", "ref"), "ref").select("ref", "offer_id")
+    by_tail = wanted.join(stored.select("offer_id", tail.alias("ref")).where("ref <> ''"), "ref").select("ref", "offer_id")
     by_url = refs.where("url <> ''").join(stored.select("offer_id", "url"), "url").select("ref", "offer_id")
-    found = by_ref.unionByName(by_url).distinct()
+    every = by_ref.unionByName(by_tail).unionByName(by_url)
+    if path:
+        inside = stored.select("offer_id", F.regexp_extract("url", path, 1).alias("ref")).where("ref <> ''")
+        every = every.unionByName(wanted.join(inside, "ref").select("ref", "offer_id"))
+    found = every.distinct()
     return found.groupBy("ref").agg(F.min("offer_id").alias("offer_id"), (F.count("*") > 1).alias("ambiguous"))
 
 
+def service_matches(refs: DataFrame, stored: DataFrame, suffix: str = "/rent") -> DataFrame:
+    """As single_matches for sources that list one property for sale and for rent under one reference, the rental's address
+    ending in `suffix`: rows match by address, or by reference and deal, but never the row whose address is that of the
+    opposite deal. refs: ref, url, deal; stored: offer_id, ref, url, deal."""
+    bare = F.regexp_replace("url", f"{suffix}$", "")
+    wanted = refs.withColumn("opposite", F.when(F.col("deal") == "sale", F.concat(bare, F.lit(suffix))).otherwise(bare))
+    have = stored.select("offer_id", "ref", "deal", F.col("url").alias("own"))
+    by_url = wanted.join(have.drop("ref", "deal"), F.col("url") == F.col("own")).select("ref", "deal", "offer_id", "own", "opposite")
+    by_ref = wanted.join(have, ["ref", "deal"]).select("ref", "deal", "offer_id", "own", "opposite")
+    found = by_url.unionByName(by_ref).where("own <> opposite").select("ref", "deal", "offer_id").distinct()
+    return found.groupBy("ref", "deal").agg(F.min("offer_id").alias("offer_id"), (F.count("*") > 1).alias("ambiguous"))
+
+
 def retire_agency(state: DataFrame, agencies: DataFrame, run_date: Column, agency: str = "agency_id") -> tuple[DataFrame, DataFrame]:
     """(state, history) after all rows of merged agencies are withdrawn."""
     mark = state.join(agencies.select(agency, F.lit(True).alias("__gone")).distinct(), agency, "left")
@@ -191,9 +216,9 @@ def keep_manual(values: DataFrame, stored: DataFrame, key: str = "id") -> DataFr
 
 def previous_price(log: DataFrame, key: str = "id") -> DataFrame:
     """The price before the latest change of it."""
-    w = Window.partitionBy(key).orderBy(F.desc("changed_on"), F.desc("seq"))
     prices = log.where((F.col("event") == "changed") & (F.col("field") == "price_eur"))
-    return prices.withColumn("place", F.row_number().over(w)).where("place = 1").select(key, F.col("old_value").try_cast("decimal(12,2)").alias("prev_price"))
+    last = prices.groupBy(key).agg(F.max_by("old_value", F.struct("changed_on", "seq")).alias("old_value"))
+    return last.select(key, F.col("old_value").try_cast("decimal(12,2)").alias("prev_price"))
 
 
 def manifest_compare(recorded: DataFrame, current: DataFrame, key: str = "path", digest: str = "digest") -> DataFrame:

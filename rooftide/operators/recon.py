@@ -13,6 +13,7 @@ PRICE = r"(?iuU)(?:€|EUR|лв\.?|BGN)\s*[\d\s.,]{3,}|[\d\s.,]{3,}\s*(?:€|EUR
 AREA = r"(?iuU)\d[\d\s.,]*\s*(?:m2|m²|кв\.?\s*м|sq\.?\s*m|кв\.м)"
 ROOMS = r"(?iu)(едностаен|двустаен|тристаен|многостаен|мезонет|bedroom|спалн|студио|studio)"
 NEWS = r"(?i)\"@type\"\s*:\s*\"(NewsArticle|BlogPosting|Article)\""
+# Marks of platforms in page text, endings of assets, answers that mean a block.
 PLATFORMS = {
     "WordPress": (r"/wp-content/", r"/wp-includes/", r'name="generator"[^>]*WordPress'),
     "Houzez": (r"houzez",),
@@ -72,33 +73,51 @@ def page_title(body: Column) -> Column:
     return F.trim(F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title>", 1))
 
 
+# What links are no addresses.
+NO_ADDRESS = "^(mailto:|tel:|javascript:|data:)"
+
+
 def hrefs(body: Column) -> Column:
     """Targets of links, as written, up to a fragment."""
     found = F.regexp_extract_all(body, F.lit(r"(?i)<a\b[^>]*?href=[\"']([^\"'#]+)"), 1)
-    return F.filter(F.transform(found, lambda h: F.trim(h)), lambda h: (h != "") & ~h.rlike("^(mailto:|tel:|javascript:|data:)"))
+    return F.filter(F.transform(found, lambda h: F.trim(h)), lambda h: (h != "") & ~h.rlike(NO_ADDRESS))
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path with '.' and '..' resolved; one that ends in either ends in a slash."""
+    parts = F.split(F.regexp_replace(path, r"/\.\.?$", "$0/"), "/")
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x))))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.array_join(kept, "/")).otherwise(path)
 
 
 def absolute(href: Column, base: Column) -> Column:
-    """href against base for the forms that pages use: absolute, //host, /path, ?query and plain names."""
+    """href against base for the forms that pages use: absolute, //host, /path, ?query and plain names, with dots resolved."""
     scheme, root = F.regexp_extract(base, r"^([a-zA-Z]+):", 1), F.regexp_extract(base, r"^([a-zA-Z]+://[^/?#]*)", 1)
     folder = F.regexp_replace(url_path(base), r"[^/]*$", "")
-    plain = F.regexp_replace(F.regexp_replace(href, r"^(\./)+", ""), r"/\./", "/")
+    path, rest = F.regexp_extract(href, r"^[^?#]*", 0), F.regexp_extract(href, r"[?#].*$", 0)
     return (
         F.when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("/"), F.concat(root, without_dots(path), rest))
         .when(href.startswith("?"), F.concat(root, url_path(base), href))
-        .otherwise(F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), plain))
+        .otherwise(F.concat(root, without_dots(F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), path)), rest))
     )
 
 
+def base_of(body: Column, url: Column) -> Column:
+    """What relative links of a page start from: its own <base>, else its address."""
+    own = F.nullif(F.trim(F.regexp_extract(body, r"(?i)<base\b[^>]*?href=[\"']([^\"'#]+)", 1)), F.lit(""))
+    return F.when(own.isNotNull(), absolute(own, url)).otherwise(url)
+
+
 def links_on(pages: DataFrame, keys: list[str], url: str = "url", body: str = "html") -> DataFrame:
     """(keys, link): distinct addresses of the same host that are no assets, without fragments."""
-    links = pages.select(*keys, F.col(url).alias("base"), F.explode(hrefs(F.col(body))).alias("href"))
-    links = links.select(*keys, "base", F.substring_index(absolute(F.col("href"), F.col("base")), "#", 1).alias("link"))
+    links = pages.select(*keys, F.col(url).alias("own"), base_of(F.col(body), F.col(url)).alias("base"), F.explode(hrefs(F.col(body))).alias("href"))
+    links = links.select(*keys, "own", F.substring_index(absolute(F.col("href"), F.col("base")), "#", 1).alias("link"))
     low = F.lower(url_path(F.col("link")))
     asset = sum(low.endswith(x).cast("int") for x in SKIPPED) > 0
-    return links.where((host(F.col("link")) == host(F.col("base"))) & ~asset).select(*keys, "link").distinct()
+    return links.where((host(F.col("link")) == host(F.col("own"))) & ~asset).select(*keys, "link").distinct()
 
 
 def sibling_counts(links: DataFrame, pages: DataFrame, key: str, url: str = "url") -> DataFrame:

@@ -102,7 +102,9 @@ def both_deals(refs: DataFrame) -> DataFrame:
 
 
 def to_markdown(rows: DataFrame, limit: int = 500) -> str:
-    """A small aggregate as a table; the limit is that of a page to read."""
+    """A small aggregate as a table. A table of more rows than `limit` says so in its last line."""
     names = rows.columns
-    body = [" | ".join("" if x is None else str(x) for x in r) for r in rows.limit(limit).collect()]
-    return "\n".join(f"| {line} |" for line in (" | ".join(names), " | ".join("---" for _ in names), *body))
+    found = rows.limit(limit + 1).collect()
+    body = [" | ".join("" if x is None else str(x) for x in r) for r in found[:limit]]
+    lines = [f"| {line} |" for line in (" | ".join(names), " | ".join("---" for _ in names), *body)]
+    return "\n".join([*lines, f"({rows.count() - limit} more rows)"] if len(found) > limit else lines)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,13 +45,35 @@ def sync_sheets(state: DataFrame, rows: DataFrame, run_date: Column) -> tuple[Da
 
 
 def store_web(state: DataFrame, records: DataFrame, run_date: Column) -> tuple[DataFrame, DataFrame]:
-    """(state, history) after crawled records (url is the identity). Sold pages deactivate and enter no history."""
+    """(state, history) after crawled records (url is the identity). Sold pages deactivate what is stored, which is then sold
+    as of this run, and enter no history."""
     live, sold = merge.drop_sold(records.withColumn("fingerprint", identity.web_fingerprint(F.col("url"))))
     tracked = [c for c in merge.WEB_TRACKED if c in records.columns and c in state.columns]
     merged = merge.merge(state, live, ["fingerprint"], tracked, run_date, merge.WEB, "price_eur" if "price_eur" in tracked else None)
-    gone = sold.select("fingerprint", F.lit(True).alias("__sold")).distinct()
-    out = merged.join(gone, "fingerprint", "left").withColumn("is_active", F.col("is_active") & F.col("__sold").isNull()).drop("__sold")
-    return out, merge.history(merged, ["fingerprint"], run_date, merge.WEB)
+    marks = merged.join(sold.select("fingerprint", F.lit(True).alias("__sold")).distinct(), "fingerprint", "left")
+    gone = F.col("__sold").isNotNull() & F.col("is_active")
+    new = {"last_changed": F.when(gone, run_date).otherwise(F.col("last_changed")), "is_active": F.col("is_active") & ~gone}
+    if "status" in merged.columns:
+        new["status"] = F.when(gone, F.lit("sold")).otherwise(F.col("status"))
+    return marks.withColumns(new).drop("__sold"), merge.history(merged, ["fingerprint"], run_date, merge.WEB)
+
+
+def store_verified(state: DataFrame, records: DataFrame, run_date: Column, path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(state, history, ambiguous) after records of a verified source (offer_id of a new row is its fingerprint). A record
+    replaces the one stored row that its reference or address fits; one that fits several changes nothing and comes back
+    in ambiguous. Missing values keep what is stored, and rates and keys follow from the values that are kept."""
+    fits = merge.single_matches(records.select("ref", F.col("listing_url").alias("url")), state.select("offer_id", "ref", F.col("listing_url").alias("url")), path)
+    named = records.join(fits, "ref", "left")
+    ambiguous = named.where("ambiguous").drop("offer_id", "ambiguous")
+    fresh = named.where("NOT coalesce(ambiguous, false)").withColumn("offer_id", F.coalesce("offer_id", identity.web_fingerprint(F.col("listing_url")))).drop("ambiguous")
+    tracked = [c for c in records.columns if c in state.columns and c != "offer_id"]
+    merged = merge.merge(state, fresh.select("offer_id", *tracked), ["offer_id"], tracked, run_date, merge.VERIFIED, "price_eur")
+    derived = {}
+    if {"price_eur", "area_m2"} <= set(tracked):
+        derived["price_per_m2"] = F.bround(F.try_divide(F.col("price_eur").cast("double"), F.when(F.col("area_m2") != 0, F.col("area_m2")).cast("double")), 2)
+    if {"location", "title", "bedrooms", "area_m2", "floor"} <= set(tracked):
+        derived["dedup_key"] = identity.dedup_key(*(F.col(c) for c in ("location", "title", "bedrooms", "area_m2", "floor")))
+    return merged.withColumns(derived) if derived else merged, merge.history(merged, ["offer_id"], run_date, merge.VERIFIED), ambiguous
 
 
 def reextract(snapshots: DataFrame) -> DataFrame:
@@ -107,11 +131,30 @@ def seed_agencies(registry: DataFrame, probes: DataFrame) -> DataFrame:
     return registry.join(last, "slug", "left")
 
 
-def crawl_all(offers: DataFrame, trace: DataFrame, fields: list[str], outcomes: list[str]) -> dict[str, DataFrame]:
+def crawl_reports(offers: DataFrame, trace: DataFrame, fields: list[str], outcomes: list[str]) -> dict[str, DataFrame]:
     """The reports of a run."""
     return {"report": report.crawl_report(trace, fields, outcomes), "totals": report.run_totals(trace), "quality": report.fill_rates(offers, ["price", "area", "location"])}
 
 
+Step = Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
+#: The order of a run: who is on the market, their sheets, their sites, then what is only known afterwards.
+STEPS = ("registry", "sheets", "sites", "locations", "rematch")
+
+
+def crawl_all(tables: dict[str, DataFrame], steps: dict[str, Step], skip: tuple[str, ...] = ()) -> tuple[dict[str, DataFrame], list[str]]:
+    """(tables, names of the steps that ran): each step gets all tables as the steps before it left them, and returns those that
+    it replaces. Steps run in the order of STEPS; ones that are not given or to be skipped are left out; an unknown name is
+    an error, and so is one that a step raises: what follows would rest on half a run."""
+    if unknown := set(steps) - set(STEPS):
+        raise ValueError(f"unknown steps {sorted(unknown)}; known ones are {STEPS}")
+    ran = []
+    for name in STEPS:
+        if name in steps and name not in skip:
+            tables = {**tables, **steps[name](tables)}
+            ran.append(name)
+    return tables, ran
+
+
 def vendor_check(recorded: DataFrame, files: DataFrame) -> DataFrame:
     """Manifest against files (path, content)."""
     return merge.manifest_compare(recorded, files.select("path", F.left(F.sha2("content", 256), F.lit(16)).alias("digest")))

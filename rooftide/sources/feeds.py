@@ -5,6 +5,11 @@ Fetching stays outside the engine. What was fetched is read with Spark's readers
 
 from __future__ import annotations
 
+import gzip
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +84,19 @@ def directory(pages: DataFrame, block: str, fields: dict[str, str], html: str =
     return rows.groupBy("name").agg(F.max_by(F.struct(*rest), F.struct("count", "slug")).alias("r")).select("name", "r.*").orderBy(F.desc("count"), "name")
 
 
+def first_own_domain(links: DataFrame, denied: list[str]) -> DataFrame:
+    """(page, website): the first link of each page that leads to another host, no denied one. links: page, position, link."""
+    name = host(F.col("link"))
+    own = links.where((name != "") & (name != host(F.col("page"))) & ~F.exists(F.array(*map(F.lit, denied)), lambda d: F.contains(name, d)))
+    return own.groupBy("page").agg(F.min_by("link", "position").alias("website"))
+
+
+def rows_of_city(rows: DataFrame, column: str, own: str, others: str) -> DataFrame:
+    """Rows of a directory whose text does not name another city, unless it names the own one too; patterns."""
+    text = F.coalesce(F.col(column), F.lit(""))
+    return rows.where(~text.rlike(f"(?iu){others}") | text.rlike(f"(?iu){own}"))
+
+
 def sheet_urls(links: DataFrame, cells: DataFrame, offers: DataFrame, agencies: DataFrame) -> DataFrame:
     """(agency, url) from sheets' links, addresses in cells, offers, websites and mailboxes' domains."""
     in_cells = cells.select("agency", F.explode(F.regexp_extract_all("cell", F.lit(r"(https?://[^\s\"'<>]+)"), 1)).alias("url"))
@@ -102,23 +120,71 @@ def registry_upsert(agencies: DataFrame, rows: DataFrame) -> DataFrame:
     return merged.drop("duplicate_of").join(target, "alias_of", "left")
 
 
+def _domains(name: Column) -> Column:
+    """A host and all domains that it lies in, longest first, down to two labels."""
+    labels = F.split(name, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
 def match_by_host(found: DataFrame, agencies: DataFrame) -> DataFrame:
-    """found (name, website) with the agency's slug: by host, else by the name's slug."""
-    by_host = agencies.where(host(F.col("website")) != "").groupBy(host(F.col("website")).alias("h")).agg(F.min("slug").alias("s1"))
+    """found (name, website) with the agency's slug: by host, where one's may lie in the other's domain (the closest counts),
+    else by the name's slug. Hosts meet by equal domains, not by containment."""
+    own = agencies.where(host(F.col("website")) != "").select(F.col("slug").alias("s1"), host(F.col("website")).alias("h1"))
+    keyed = found.withColumns({"h": host(F.col("website")), "s": slugify(F.col("name")), "n": F.monotonically_increasing_id()})
+    hosts = keyed.where("h <> ''").select("h").distinct()
+    below = hosts.select("h", F.posexplode(_domains(F.col("h"))).alias("far", "h1")).join(own, "h1").select("h", "s1", "far")
+    above = own.select("s1", F.posexplode(_domains(F.col("h1"))).alias("far", "h")).join(hosts, "h").select("h", "s1", "far")
+    closest = below.unionByName(above).groupBy("h").agg(F.min(F.struct("far", "s1")).alias("m")).select("h", F.col("m.s1").alias("s1"))
     by_slug = agencies.select(F.col("slug").alias("s2"))
-    keyed = found.withColumns({"h": host(F.col("website")), "s": slugify(F.col("name"))})
-    joined = keyed.join(by_host, "h", "left").join(by_slug, F.col("s") == F.col("s2"), "left")
+    joined = keyed.join(closest, "h", "left").join(by_slug, F.col("s") == F.col("s2"), "left")
     return joined.select(*found.columns, F.coalesce("s1", "s2").alias("slug"))
 
 
+#: Sets of one byte a letter that pages declare, by the codec that knows them. Browsers read Latin-1 as Windows-1252.
+SINGLE_BYTE = {
+    "cp1252": ("iso-8859-1", "latin-1", "latin1", "windows-1252", "cp1252", "us-ascii", "ascii"),
+    "cp1251": ("windows-1251", "cp1251", "win-1251", "x-cp1251"),
+    "koi8_r": ("koi8-r", "koi8"), "koi8_u": ("koi8-u",), "iso8859_5": ("iso-8859-5", "cyrillic"), "cp866": ("ibm866", "cp866"),
+    "mac_cyrillic": ("x-mac-cyrillic", "maccyrillic"), "cp1250": ("windows-1250", "cp1250"), "iso8859_2": ("iso-8859-2", "latin2"),
+    "cp1253": ("windows-1253", "cp1253"), "iso8859_7": ("iso-8859-7", "greek"), "cp1254": ("windows-1254", "iso-8859-9", "latin5"),
+    "iso8859_15": ("iso-8859-15", "latin9"),
+}
+HEAD_BYTES = 8192
+
+
 def decode(content: Column, header_charset: Column) -> Column:
-    """Text of fetched bytes: the header's character set, then the page's own, else UTF-8; Latin-1 is read as Windows-1252."""
-    head = F.decode(F.substring(content, 1, 2048), "ISO-8859-1")
-    declared = F.lower(F.coalesce(F.nullif(header_charset, F.lit("")), F.nullif(F.regexp_extract(head, r"(?i)<meta[^>]+charset=[\"']?\s*([\w-]+)", 1), F.lit("")), F.lit("utf-8")))
-    single = declared.isin("iso-8859-1", "latin-1", "latin1", "windows-1252", "cp1252")
-    # Spark decodes a few sets only; the two single-byte ones differ in 32 places, which are mapped here.
-    latin = F.translate(F.decode(content, "ISO-8859-1"), "".join(map(chr, range(0x80, 0xA0))), bytes(range(0x80, 0xA0)).decode("cp1252", "replace"))
-    return F.when(single, latin).otherwise(F.decode(content, "UTF-8"))
+    """Text of fetched bytes: the header's character set, then the page's own, else UTF-8, as for sets that are not known.
+
+    Spark decodes a few sets only; one of a byte a letter is Latin-1 with its upper half mapped."""
+    latin = F.decode(content, "ISO-8859-1")
+    own = F.regexp_extract(F.left(latin, F.lit(HEAD_BYTES)), r"(?i)charset\s*=\s*[\"']?([\w-]+)", 1)
+    declared = F.lower(F.coalesce(F.nullif(header_charset, F.lit("")), F.nullif(own, F.lit("")), F.lit("utf-8")))
+    upper = "".join(map(chr, range(0x80, 0x100)))
+    out = F.decode(content, "UTF-8")
+    for codec, names in SINGLE_BYTE.items():
+        out = F.when(declared.isin(*names), F.translate(latin, upper, bytes(range(0x80, 0x100)).decode(codec, "replace"))).otherwise(out)
+    return F.when(declared.isin("utf-16", "utf-16le", "utf-16be"), F.decode(content, "UTF-16")).otherwise(out)
+
+
+def _unpack(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def one(blob: bytes | None) -> bytes | None:
+        if blob is None or not blob.startswith(GZIP):
+            return blob
+        try:
+            return gzip.decompress(blob)
+        except (OSError, EOFError, zlib.error):
+            return None
+
+    for part in parts:
+        yield part.map(one, na_action="ignore")
+
+
+GZIP = bytes.fromhex("1f8b")
+
+
+def unpacked(files: DataFrame, content: str = "content") -> DataFrame:
+    """files with gzip contents unpacked, in Python workers over Arrow batches; a broken archive becomes null."""
+    return files.withColumn(content, F.pandas_udf(_unpack, "binary")(F.col(content)))
 
 
 def snapshot_rows(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -127,7 +193,7 @@ def snapshot_rows(pages: DataFrame, url: str = "url") -> DataFrame:
 
 
 def gunzip_needed(content: Column) -> Column:
-    return F.startswith(content, F.lit(bytes.fromhex("1f8b")))
+    return F.startswith(content, F.lit(GZIP))
 
 
 def image_kind(content: Column) -> Column:
@@ -150,6 +216,12 @@ def import_images(files: DataFrame, each: int = IMAGES_EACH) -> DataFrame:
     return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= each).drop("place")
 
 
+def image_counts(offers: DataFrame, images: DataFrame) -> DataFrame:
+    """offers with image_count as the stored images say."""
+    counts = images.groupBy("offer_id").agg(F.count("*").cast("int").alias("image_count")).withColumnRenamed("offer_id", "id")
+    return offers.drop("image_count").join(counts, "id", "left").withColumn("image_count", F.coalesce("image_count", F.lit(0)))
+
+
 def broken_images(stored: DataFrame, files: DataFrame) -> DataFrame:
     """Stored images whose file is missing or no image: (path, reason)."""
     have = files.select("path", image_kind(F.col("content")).alias("kind"), F.lit(True).alias("there"))

@@ -7,6 +7,7 @@ over Arrow batches, once per page.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -15,29 +16,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features, identity, prices, taxonomy
-from ..functions.text import title_norm
+from ..functions.text import fold, title_norm
+from ..operators import geo
 
 PAGE = "struct<title:string,h1:string,og:map<string,string>,ld:array<map<string,string>>,content:string,links:array<string>>"
-# What is furniture on a page.
-CHROME_TAGS = frozenset(("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "select", "svg", "template", "iframe"))
-CHROME_CLASSES = ("menu", "nav", "footer", "header", "sidebar", "breadcrumb", "cookie", "related", "similar", "filter", "search")
+# What is furniture on a page: tags, words of classes and ids between borders, and tags that never are.
+CHROME_TAGS = frozenset(("script", "style", "noscript", "nav", "header", "footer", "aside", "form", "select", "button", "iframe", "svg", "template", "dialog"))
+CHROME_WORDS = (
+    "nav", "navbar", "menu", "topbar", "sidebar", "side-?nav", "filter", "filters", "facet", "footer", "header", "masthead", "cookie",
+    "consent", "modal", "popup", "overlay", "drawer", "offcanvas", "widget", "related", "similar", "recommend", "recently", "viewed",
+    "carousel-nav", "newsletter", "subscribe", "social", "share", "breadcrumbs?", "pagination", "search-form", "compare", "favorites?",
+    "izbrannoe", "toolbar", "banner",
+)
+NEVER_CHROME = frozenset(("html", "body", "main", "article"))
+CHROME = re.compile(rf"(?i)(?:^|[-_ ])(?:{'|'.join(CHROME_WORDS)})(?:$|[-_ ])")
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
-BREAKS = frozenset(("p", "br", "div", "li", "tr", "h1", "h2", "h3", "h4", "table", "ul", "ol", "section", "article", "dt", "dd"))
-LEAST_TEXT, LARGE_PAGE, ANCHOR, LEAST_WINDOW = 300, 5000, 40, 120
+BREAKS = frozenset(("p", "br", "div", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "table", "ul", "ol", "section", "article", "dt", "dd"))
+LEAST_TEXT, LARGE_PAGE, ANCHOR, LEAST_HEADING, LEAST_WINDOW = 300, 5000, 40, 8, 120
+TITLE_END = r"\s+[|–—]\s.*$"
 
 
 class _Reader(HTMLParser):
-    """Text outside chrome, in lines; titles, meta properties, JSON-LD and links of the whole page."""
+    """Text outside chrome, in lines; the title, the first heading outside chrome and the first of all, meta properties,
+    JSON-LD and links of the whole page. A chrome subtree ends with the tag that began it, however sloppily those inside
+    are closed."""
 
     def __init__(self, strict: bool) -> None:
         super().__init__(convert_charrefs=True)
         self.strict, self.open, self.skipping = strict, [], 0
-        self.text, self.title, self.h1, self.og, self.ld, self.links = [], [], [], {}, [], []
+        self.text, self.title, self.og, self.ld, self.links = [], [], {}, [], []
+        self.headings: list[tuple[bool, list[str]]] = []  # whether outside chrome, and the parts
         self.into: list | None = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
-        if tag == "meta" and (name := a.get("property") or a.get("name")) and a.get("content"):
+        name = (a.get("property") or a.get("name") or "").lower()
+        if tag == "meta" and ":" in name and a.get("content"):
             self.og.setdefault(name.removeprefix("og:"), a["content"])
         if tag == "a" and a.get("href"):
             self.links.append(a["href"])
@@ -45,17 +59,18 @@ class _Reader(HTMLParser):
             self.text.append("\n")
         if tag in VOID:
             return
-        marks = f"{a.get('class') or ''} {a.get('id') or ''}".lower()
-        chrome = tag in CHROME_TAGS or (self.strict and tag not in ("html", "body", "main", "article") and any(c in marks for c in CHROME_CLASSES))
+        marks = f"{a.get('class') or ''} {a.get('id') or ''}"
+        chrome = tag in CHROME_TAGS or (self.strict and tag not in NEVER_CHROME and bool(CHROME.search(marks)))
         self.open.append((tag, chrome))
         self.skipping += chrome
-        if tag == "script" and "ld+json" in (a.get("type") or ""):
+        if tag == "script" and "ld+json" in (a.get("type") or "").lower():
             self.into = self.ld
             self.ld.append("")
         elif tag == "title":
             self.into = self.title
         elif tag == "h1":
-            self.into = self.h1
+            self.headings.append((not self.skipping, []))
+            self.into = self.headings[-1][1]
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BREAKS:
@@ -75,9 +90,18 @@ class _Reader(HTMLParser):
             return
         if self.into is not None:
             self.into.append(data)
-        if not self.skipping:
+        if not self.skipping and self.into is not self.title:
             self.text.append(data)
 
+    def heading(self) -> str:
+        """The first heading outside chrome, else the first of all: a theme may bury it."""
+        said = [(outside, _spaced(parts)) for outside, parts in self.headings if _spaced(parts)]
+        return next((text for outside, text in said if outside), said[0][1] if said else "")
+
+
+def _spaced(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
+
 
 def _flat(node, out: list[dict]) -> None:
     if isinstance(node, list):
@@ -94,26 +118,40 @@ def _lines(parts: list[str]) -> str:
     return "\n".join(x for x in (" ".join(line.split()) for line in "".join(parts).split("\n")) if x)
 
 
+def _read(html: str, strict: bool) -> _Reader:
+    reader = _Reader(strict)
+    reader.feed(html)
+    reader.close()
+    return reader
+
+
 def parse_page(html: str | None) -> dict:
-    """The page as a dict of PAGE. The window starts at the heading where one is found in the text."""
+    """The page as a dict of PAGE. The window starts at the heading where one is found in the text: the first h1, else what
+    the page's data or its title calls the listing. If next to nothing is left outside chrome, the words misjudged the page,
+    and it is read again without them where that gives more."""
     html = html or ""
-    reader = _Reader(True)
-    reader.feed(html)
+    reader = _read(html, True)
     content = _lines(reader.text)
     if len(content) < LEAST_TEXT and len(html) > LARGE_PAGE:
-        loose = _Reader(False)
-        loose.feed(html)
-        content = _lines(loose.text)
-    h1 = " ".join("".join(reader.h1).split())
-    if len(h1) > 8 and (at := content.find(h1[:ANCHOR])) >= 0:
-        content = content[at:]
+        loose = _read(html, False)
+        if len(_lines(loose.text)) > len(content):
+            reader, content = loose, _lines(loose.text)
     ld: list[dict] = []
     for raw in reader.ld:
         try:
             _flat(json.loads(raw), ld)
         except ValueError:
             continue
-    return {"title": " ".join("".join(reader.title).split()), "h1": h1, "og": reader.og, "ld": ld, "content": content, "links": reader.links}
+    h1, title = reader.heading(), _spaced(reader.title)
+    named = next((n["name"] for n in ld if n.get("name") and re.search("|".join(LD_KINDS), n.get("@type", ""))), "")
+    heading = h1 or re.sub(TITLE_END, "", named or reader.og.get("title", "") or title)
+    if len(heading) > LEAST_HEADING and (at := content.find(heading[:ANCHOR])) >= 0:
+        content = content[at:]
+    return {"title": title, "h1": h1, "og": reader.og, "ld": ld, "content": content, "links": reader.links}
+
+
+# Kinds of JSON-LD nodes that describe a listing.
+LD_KINDS = ("RealEstateListing", "Residence", "Apartment", "House", "Product", "SingleFamilyResidence", "Offer", "Accommodation")
 
 
 def _parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -148,6 +186,7 @@ LABELS = (
     ("maintenance", r"(?iu)(поддръжка|поддержка|такса|maintenance|service charge)"),
     ("sea_distance", r"(?iu)(до море|до морето|разстояние до мор|distance to)"),
 )
+# A label and its value, and words for yes, no and the ground floor.
 PAIR = r"([A-Za-zА-Яа-яЁёЂ-ќ][^:\n]{1,34}?)[^\S\n]*:[^\S\n]*([^\n:]{1,70})"
 YES, NO, GROUND = r"(?iu)^(да|има|есть|yes|true|\+)", r"(?iu)^(не|няма|нет|no|false|-)", r"(?iu)(партер|цокол|ground|first floor|приземн)"
 
@@ -166,74 +205,130 @@ def yes_no(text: Column) -> Column:
     return F.when(F.trim(text).rlike(YES), F.lit(True)).when(F.trim(text).rlike(NO), F.lit(False))
 
 
-LD_KINDS = ("RealEstateListing", "Residence", "Apartment", "House", "Product", "SingleFamilyResidence", "Offer", "Accommodation")
+def _first(values: Column) -> Column:
+    return F.get(F.filter(values, lambda v: v.isNotNull() & (v != "")), F.lit(0))
 
 
 def ld_value(ld: Column, *names: str) -> Column:
-    """The first value of a property among JSON-LD nodes of listing kinds."""
+    """The first value of a property among JSON-LD nodes of listing kinds; 'floorSize.value' is one inside another."""
     kinds = F.filter(ld, lambda n: n["@type"].rlike("|".join(LD_KINDS)))
-    return F.coalesce(*(F.get(F.filter(F.transform(kinds, lambda n, k=name: n[k]), lambda v: v.isNotNull() & (v != "")), F.lit(0)) for name in names))
 
+    def of(name: str) -> Column:
+        outer, _, inner = name.partition(".")
+        return _first(F.transform(kinds, lambda n: F.get_json_object(n[outer], f"$.{inner}") if inner else n[outer]))
+
+    return F.coalesce(*map(of, names))
+
+
+def ld_property(ld: Column, pattern: str, unless: str = "(?!)") -> Column:
+    """The first value of a PropertyValue node whose name fits."""
+    name = lambda n: F.lower(F.coalesce(n["name"], F.lit("")))
+    fit = F.filter(ld, lambda n: F.coalesce(n["@type"].rlike("PropertyValue"), F.lit(False)) & name(n).rlike(pattern) & ~name(n).rlike(unless))
+    return _first(F.transform(fit, lambda n: n["value"]))
+
+
+def ld_address(ld: Column) -> Column:
+    """Street, town and region of a listing's structured address; null without one."""
+    parts = [ld_value(ld, f"address.{x}") for x in ("streetAddress", "addressLocality", "addressRegion")]
+    return F.nullif(F.concat_ws(" ", *parts), F.lit(""))
 
+
+# Names of structured properties, amounts of money, areas and floors in text.
+LD_AREA, LD_BEDROOMS, LD_ROOMS, LD_FLOOR = "площ|area|size|кв", "спал|bedroom", "комнат|стаи|rooms", "етаж|этаж|floor"
+LD_PRICE, LD_NO_PRICE = "цена|price|стоимост", "м2|кв"
 MONEY = r"(?iuU)([\d][\d\s .,]{2,12}\s*(?:€|EUR|евро|лв\.?|BGN))"
 MONEY_LABELLED = r"(?iuU)(?:цена|price|стоимост)\D{0,24}?([\d][\d\s .,]{2,12}\s*(?:€|EUR|евро|лв\.?|BGN))"
 AREA = r"(?iuU)([\d]+(?:[.,]\d+)?)\s*(?:кв\.?\s*м|м\s?2|м²|m\s?2|m²|sq\.?\s?m)"
 FLOOR = r"(?iuU)(?:етаж|этаж|floor)\D{0,8}(\d{1,2})|(\d{1,2})\s*[-\s]?(?:ти|ри|й|ый)?\s*(?:етаж|этаж|floor)"
+ALL_FLOORS = r"(?iu)(етажност|общо етаж|всего этаж|total floors?)\D{0,12}\d+"
 LEAST_PRICE, MOST_PRICE = 1000, 5_000_000
+RAW_CHARS, NOTES_CHARS, WINDOW_NOTES, FEATURE_WINDOW, PLACE_WINDOW = 120, 4000, 1500, 3000, 400
 
 
-def asking_price(spec: Column, ld: Column, content: Column, least: float = LEAST_PRICE, most: float = MOST_PRICE) -> Column:
-    """struct(value, derived): labelled, structured, labelled in text, any amount in text, rate times area; the first within
-    bounds."""
+def asking_price(spec: Column, ld: Column, content: Column, html: Column | None = None, hints: tuple[str, ...] = (), least: float = LEAST_PRICE, most: float = MOST_PRICE) -> Column:
+    """struct(value, derived, raw): labelled, structured, by a site's own patterns (hints; the amount is group 1), labelled in
+    text, any amount in text, rate times area; the first within bounds, with the text it was read from."""
     fits = lambda v: F.when(v.between(least, most), v)
-    amounts = lambda pattern: F.get(F.filter(F.transform(F.regexp_extract_all(content, F.lit(pattern), 1), prices.money), lambda v: v.between(least, most)), F.lit(0))
-    structured = prices.number(ld_value(ld, "price"))
-    structured = F.when(F.upper(ld_value(ld, "priceCurrency")) == "BGN", F.bround(structured / prices.BGN_PER_EUR, 2)).otherwise(structured)
-    quoted = F.coalesce(fits(prices.money(spec["price"])), fits(structured), amounts(MONEY_LABELLED), amounts(MONEY))
+
+    def quoted(value: Column, raw: Column) -> Column:
+        return F.when(fits(value).isNotNull(), F.struct(value.alias("value"), F.lit(False).alias("derived"), F.left(raw, F.lit(RAW_CHARS)).alias("raw")))
+
+    def in_text(pattern: str) -> Column:
+        found = F.zip_with(F.regexp_extract_all(content, F.lit(pattern), 1), F.regexp_extract_all(content, F.lit(pattern), 0), lambda x, whole: F.struct(prices.money(x).alias("v"), whole.alias("raw")))
+        one = F.get(F.filter(found, lambda x: x["v"].between(least, most)), F.lit(0))
+        return quoted(one["v"], one["raw"])
+
+    own = F.coalesce(ld_value(ld, "price"), ld_property(ld, LD_PRICE, LD_NO_PRICE))
+    currency = F.coalesce(ld_value(ld, "priceCurrency"), F.lit("EUR"))
+    structured = prices.number(own)
+    structured = F.when(F.upper(currency) == "BGN", F.bround(structured / prices.BGN_PER_EUR, 2)).otherwise(structured)
+    by_site = [quoted(prices.number(F.regexp_extract(html, f"(?i){h}", 1)), F.regexp_extract(html, f"(?i){h}", 0)) for h in hints if html is not None]
     product = fits(F.bround(prices.money(spec["price_per_m2"]) * prices.number(spec["area"]), 2))
-    return F.struct(F.coalesce(quoted, product).alias("value"), (quoted.isNull() & product.isNotNull()).alias("derived"))
+    rate = F.when(product.isNotNull(), F.struct(product.alias("value"), F.lit(True).alias("derived"), F.concat(spec["price_per_m2"], F.lit(" × "), spec["area"]).alias("raw")))
+    nothing = F.struct(F.lit(None).cast("double").alias("value"), F.lit(False).alias("derived"), F.lit("").alias("raw"))
+    return F.coalesce(quoted(prices.money(spec["price"]), spec["price"]), quoted(structured, F.concat_ws(" ", own, currency)), *by_site, in_text(MONEY_LABELLED), in_text(MONEY), rate, nothing)
+
+
+def page_location(spec: Column, ld: Column, title: Column, url: Column, window: Column, vocabulary: list[tuple[str, str]]) -> Column:
+    """The place that a page states about its listing: by label, address, title or web address; else one that the first lines
+    name, if only by the word that no other place has. vocabulary: (folded alias, name)."""
+    slug = F.regexp_replace(F.regexp_replace(url, "^[a-zA-Z]+://", ""), "[-_/]+", " ")
+    stated = geo.first_longest_alias(fold(F.concat_ws(" ", spec["location"], ld_address(ld), title, slug)), vocabulary)
+    return F.coalesce(stated, geo.first_longest_alias_or_word(fold(F.left(window, F.lit(PLACE_WINDOW))), vocabulary))
 
 
-def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """Listing records of the pages that are listings: a title, a window of text, and two of price, area and bedrooms."""
+def extract(pages: DataFrame, html: str = "html", url: str = "url", vocabulary: list[tuple[str, str]] | None = None, hints: tuple[str, ...] = ()) -> DataFrame:
+    """Listing records of the pages that are listings: a title, a window of text, and two of price, area and bedrooms.
+    vocabulary: places (folded alias, name) to resolve locations by; hints: a site's own patterns of prices."""
     read = with_page(pages, html).withColumn("spec", label_pairs(F.col("page.content")))
     ld, body, spec = F.col("page.ld"), F.col("page.content"), F.col("spec")
     heading = F.coalesce(F.nullif(F.col("page.h1"), F.lit("")), ld_value(ld, "name"), F.col("page.og")["title"], F.col("page.title"))
-    title = F.left(F.trim(F.regexp_replace(heading, r"(?U)\s+[|–—]\s.*$", "")), F.lit(400))
+    title = F.left(F.trim(F.regexp_replace(heading, f"(?U){TITLE_END}", "")), F.lit(400))
     status_text = lambda key: F.concat_ws(" ", spec[key], title, F.left(body, F.lit(300)))
-    floor_text = F.regexp_extract(F.regexp_replace(body, r"(?iu)(етажност|общо етаж|всего этаж|total floors?)\D{0,12}\d+", ""), FLOOR, 0)
-    floor = F.coalesce(F.when(spec["floor"].rlike(GROUND), F.lit(0.0)), prices.number(spec["floor"]), prices.number(ld_value(ld, "floor")), prices.number(floor_text))
-    area = F.coalesce(prices.number(spec["area"]), prices.number(ld_value(ld, "floorSize")), prices.number(F.nullif(F.regexp_extract(body, AREA, 1), F.lit(""))))
-    beds = F.coalesce(prices.number(spec["bedrooms"]).cast("int"), taxonomy.at_least_none(prices.number(spec["rooms"]).cast("int") - 1), taxonomy.bedrooms_of(title, body))
+    floor_text = F.regexp_extract(F.regexp_replace(body, ALL_FLOORS, ""), FLOOR, 0)
+    floor = F.coalesce(F.when(spec["floor"].rlike(GROUND), F.lit(0.0)), prices.number(spec["floor"]), prices.number(ld_value(ld, "floor")), prices.number(ld_property(ld, LD_FLOOR)), prices.number(floor_text))
+    own_area = F.coalesce(ld_value(ld, "floorSize.value"), ld_property(ld, LD_AREA))
+    area = F.coalesce(prices.number(spec["area"]), prices.number(own_area), prices.number(F.nullif(F.regexp_extract(body, AREA, 1), F.lit(""))))
+    less_one = lambda rooms: taxonomy.at_least_none(prices.number(rooms).cast("int") - 1)
+    own_beds, own_rooms = (F.coalesce(ld_value(ld, name), ld_property(ld, pattern)) for name, pattern in (("numberOfBedrooms", LD_BEDROOMS), ("numberOfRooms", LD_ROOMS)))
+    beds = F.coalesce(prices.number(spec["bedrooms"]).cast("int"), less_one(spec["rooms"]), prices.number(own_beds).cast("int"), less_one(own_rooms), taxonomy.bedrooms_of(title, body))
+    notes = F.coalesce(F.nullif(F.left(F.coalesce(ld_value(ld, "description"), F.col("page.og")["description"]), F.lit(NOTES_CHARS)), F.lit("")), F.left(body, F.lit(WINDOW_NOTES)))
+    place = page_location(spec, ld, title, F.col(url), body, vocabulary) if vocabulary else F.lit(None).cast("string")
     out = read.select(
         *[c for c in pages.columns if c != html],
         title.alias("title"),
         title_norm(title).alias("title_norm"),
-        asking_price(spec, ld, body).alias("price"),
+        asking_price(spec, ld, body, F.col(html), hints).alias("price"),
         prices.within(area, 10, 1000).alias("area"),
         prices.within(beds, 0, 6).alias("bedrooms"),
         prices.within(floor, -1, 30).cast("int").alias("floor"),
-        F.left(F.coalesce(spec["location"], title), F.lit(300)).alias("location_raw"),
+        F.coalesce(place, F.lit("")).alias("location"),
+        (place.isNotNull() & (F.coalesce(spec["location"], F.lit("")) == "")).alias("location_salvaged"),
+        F.left(F.coalesce(spec["location"], ld_address(ld), title), F.lit(300)).alias("location_raw"),
         taxonomy.kind_of(F.concat_ws(" ", spec["kind"], title)).alias("kind"),
         taxonomy.deal_of(status_text("deal")).alias("deal"),
         F.when(taxonomy.is_sold(status_text("status")), "sold").otherwise("active").alias("status"),
         F.left(F.coalesce(spec["view"], F.lit("")), F.lit(300)).alias("view"),
         yes_no(spec["furnished"]).alias("furnished"),
-        F.coalesce(ld_value(ld, "description"), F.col("page.og")["description"], F.left(body, F.lit(1500))).alias("notes"),
-        F.coalesce(spec["ref"], F.lit("")).alias("ref"),
+        F.left(F.coalesce(spec["maintenance"], F.lit("")), F.lit(200)).alias("maintenance_raw"),
+        notes.alias("notes"),
+        F.left(F.coalesce(spec["ref"], F.lit("")), F.lit(80)).alias("ref"),
         F.length(body).alias("__length"),
-    ).withColumns({"price_derived": F.col("price.derived"), "price": F.col("price.value")})
+        F.concat_ws(" ", notes, F.left(body, F.lit(FEATURE_WINDOW))).alias("__notes"),
+        F.concat_ws(" ", F.left(F.coalesce(spec["view"], F.lit("")), F.lit(300)), spec["sea_distance"]).alias("__view"),
+    ).withColumns({"price_derived": F.col("price.derived"), "price_raw": F.col("price.raw"), "price": F.col("price.value")})
     known = sum(F.col(c).isNotNull().cast("int") for c in ("price", "area", "bedrooms"))
-    out = out.where((F.length("title") >= 3) & (F.col("__length") >= LEAST_WINDOW) & (known >= 2)).drop("__length")
-    columns = {c: F.col(c) for c in ("title", "notes", "view", "status", "furnished")}
+    out = out.where((F.length("title") >= 3) & (F.col("__length") >= LEAST_WINDOW) & (known >= 2))
+    columns = {"title": F.col("title"), "notes": F.col("__notes"), "view": F.col("__view"), "status": F.col("status"), "furnished": F.col("furnished")}
+    key_place = F.coalesce(F.nullif("location", F.lit("")), "location_raw")
     return out.withColumns(
         {
             "price_per_m2": F.bround(F.try_divide(F.col("price"), F.col("area")), 2),
             "features": features.resolve(columns),
-            "dedup_key": identity.dedup_key(F.col("location_raw"), F.col("title"), F.col("bedrooms"), F.col("area"), F.col("floor")),
+            "dedup_key": identity.dedup_key(key_place, F.col("title"), F.col("bedrooms"), F.col("area"), F.col("floor")),
             "fingerprint": identity.web_fingerprint(F.col(url)),
         }
-    )
+    ).drop("__length", "__notes", "__view")
 
 
 def meta_images(page: Column) -> Column:

@@ -1,11 +1,13 @@
 """Incremental ingestion with Structured Streaming: snapshots merged per micro-batch, late runs kept late.
 
 The market's own cycle is a daily batch; `availableNow` runs it as one. State lives in a table that each micro-batch
-replaces as a whole under a new version, so a failed batch leaves the last version in place.
+replaces as a whole under a new version, so a failed batch leaves the last version in place. It fits streams of few large
+batches: a batch costs as much as the state is large.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +39,8 @@ def with_places(offers: DataFrame, geo: DataFrame) -> DataFrame:
 
 
 class VersionedState:
-    """A table with whole versions in numbered folders; the last complete one counts. Older versions than the previous
-    are removed."""
+    """A table with whole versions in folders named version.batch; the last complete one counts. Older versions than the
+    previous are removed."""
 
     def __init__(self, spark: SparkSession, path: str, schema) -> None:
         self.spark, self.path, self.schema = spark, path, schema
@@ -46,31 +48,39 @@ class VersionedState:
         self.fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
         self.root = hadoop
 
-    def versions(self) -> list[int]:
+    def versions(self) -> list[tuple[int, str]]:
+        """(version, the batch that made it), oldest first."""
         if not self.fs.exists(self.root):
             return []
         path = self.spark._jvm.org.apache.hadoop.fs.Path
-        names = [s.getPath().getName() for s in self.fs.listStatus(self.root)]
-        return sorted(int(n) for n in names if n.isdigit() and self.fs.exists(path(f"{self.path}/{n}/_SUCCESS")))
+        names = [s.getPath().getName().split(".", 1) for s in self.fs.listStatus(self.root)]
+        return sorted((int(n[0]), n[1]) for n in names if len(n) == 2 and n[0].isdigit() and self.fs.exists(path(f"{self.path}/{n[0]}.{n[1]}/_SUCCESS")))
 
     def read(self) -> DataFrame:
         have = self.versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{have[-1]}") if have else self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{have[-1][0]}.{have[-1][1]}") if have else self.spark.createDataFrame([], self.schema)
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.select(*[f.name for f in self.schema.fields]).write.mode("overwrite").parquet(f"{self.path}/{version}")
-        for old in self.versions()[:-2]:
-            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{old}"), True)
+    def write(self, df: DataFrame, version: int, batch: str) -> None:
+        df.select(*[f.name for f in self.schema.fields]).write.mode("overwrite").parquet(f"{self.path}/{version}.{batch}")
+        for old, name in self.versions()[:-2]:
+            self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{old}.{name}"), True)
 
 
 def merge_stream(snapshots: DataFrame, state: VersionedState, log_path: str, checkpoint: str, keys: list[str], tracked: list[str], policy: Policy, run_date: str = "run_date") -> StreamingQuery:
-    """Merges each micro-batch of a stream of snapshot rows into the state and appends its history. Of a key's rows in a batch
-    the last run counts; rows of runs older than what the state has seen stay out."""
+    """Merges each micro-batch of a stream of snapshot rows into the state and writes its history. Of a key's rows in a batch
+    the last run counts; rows of runs older than what the state has seen of the key stay out; every row counts for its own run.
+
+    A batch is known by its stream and number, so one that is run again after it was merged changes nothing, and a new
+    checkpoint starts new batches. History is written under the version that it leads to, so a batch that failed between the
+    two writes replaces its own."""
+    spark = snapshots.sparkSession
 
     def run(batch: DataFrame, number: int) -> None:
-        done = state.versions()
-        if done and done[-1] >= number:
-            return  # this batch was merged before the restart
+        stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+        have = state.versions()
+        if have and have[-1][1] == f"{stream}-{number}":
+            return
+        version = have[-1][0] + 1 if have else 0
         old = state.read()
         rest = [c for c in batch.columns if c not in keys]
         last = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(run_date)).alias("r")).select(*keys, "r.*")
@@ -78,11 +88,12 @@ def merge_stream(snapshots: DataFrame, state: VersionedState, log_path: str, che
         fresh = last.join(seen, keys, "left").where(F.col("__seen").isNull() | (F.col(run_date) >= F.col("__seen"))).drop("__seen")
         day = fresh.agg(F.max(run_date)).first()[0]
         if day is None:
-            state.write(old, number)
+            state.write(old, version, f"{stream}-{number}")
             return
-        merged = merge(old, fresh, keys, tracked, F.lit(day), policy).persist()
-        history(merged, keys, F.lit(day), policy).write.mode("append").parquet(log_path)
-        state.write(merged, number)
+        merged = merge(old, fresh, keys, tracked, F.lit(day), policy, run=run_date).persist()
+        own_day = F.when(F.col("outcome") == "gone", F.lit(day)).otherwise(F.col("last_seen"))
+        history(merged, keys, own_day, policy).write.mode("overwrite").parquet(f"{log_path}/version={version}")
+        state.write(merged, version, f"{stream}-{number}")
         merged.unpersist()
 
     return snapshots.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -19,12 +19,12 @@ def test_folding(spark):
 
 
 def test_title_norm(spark):
-    values = ["Гранд Камелия", "Студио 12 Щит", "GRAND Kamelia Residence", "", "Юла-Ясен"]
-    assert each(spark, text.title_norm, values) == ["grand kameliya", "shtit", "grand kamelia", "", "yula yasen"]
+    values = ["Синя Ракита", "Студио 12 Щит", "SINYA Rakita Residence", "", "Юла-Ясен"]
+    assert each(spark, text.title_norm, values) == ["sinya rakita", "shtit", "sinya rakita", "", "yula yasen"]
 
 
 def test_geo_norm_keeps_short_i(spark):
-    assert each(spark, text.geo_norm, ["Младост 1А", "Mladost-1A", "Чайка", "Люлин-10", None]) == ["mladost 1 a", "mladost 1 a", "chayka", "lyulin 10", ""]
+    assert each(spark, text.geo_norm, ["Дружба 2Б", "Druzhba-2B", "Чайка", "Надежда-3", None]) == ["druzhba 2 b", "druzhba 2 b", "chayka", "nadezhda 3", ""]
 
 
 def test_trigram_similarity(spark):
@@ -34,7 +34,7 @@ def test_trigram_similarity(spark):
 
 
 def test_lookalikes_slugs_hosts(spark):
-    assert each(spark, text.undo_lookalikes, ["Бургac center", "plain"]) == ["Бургас center", "plain"]
+    assert each(spark, text.undo_lookalikes, ["Sоzоpоl сеnter", "Созопол", "plain море", "Ноliday"]) == ["Sozopol center", "Созопол", "plain море", "Holiday"]
     assert each(spark, text.slugify, ["Имоти Варна & Ко.", "Ágency  1"]) == ["imoti-varna-ko", "agency-1"]
     urls = ["https://www.a.example.com/x/12?y#z", "http://B.org", "nothing"]
     assert each(spark, text.host, urls) == ["a.example.com", "b.org", ""]
@@ -80,7 +80,7 @@ def test_kinds_rooms_floors(spark):
     df = spark.createDataFrame([("Двустаен апартамент", None), ("x", 2), (None, None)], "k string, b int")
     assert [r[0] for r in df.select(taxonomy.rooms_of(F.col("k"), F.col("b"))).collect()] == [2, 3, None]
     assert each(spark, lambda c: taxonomy.bedrooms_of(c, F.lit("")), ["3 bedroom flat", "Тристаен", "2-стаен", "Studio", "plot"]) == [3, 2, 1, 0, None]
-    assert each(spark, taxonomy.floor_number, ["third floor", "minus third floor", "floor 7", "ground floor", "?"]) == [3, -3, 7, 0, None]
+    assert each(spark, taxonomy.floor_number, ["third floor", "minus third floor", "7th floor", "ground floor", "?", "Twentieth floor", "-2 floor", "101 floor", "the third floor is up"]) == [3, -3, 7, 0, None, 20, -2, None, None]
     assert each(spark, taxonomy.deal_of, ["Под наем", "for sale"]) == ["rent", "sale"]
     assert each(spark, taxonomy.is_sold, ["ПРОДАДЕН", "Продан", "нов"]) == [True, True, False]
 
@@ -105,7 +105,7 @@ def test_requirements(spark):
 
 
 def test_keys(spark):
-    df = spark.createDataFrame([("Варна", "Гранд Камелия", 2, 62.4, 3), ("Varna", "", None, None, 3), ("Варна", "ГРАНД камелия", 2, 61.0, 3), ("Варна", "Гранд Камелия", 2, 12.5, 3)], "l string, t string, b int, a double, f int")
+    df = spark.createDataFrame([("Варна", "Синя Ракита", 2, 62.4, 3), ("Varna", "", None, None, 3), ("Варна", "СИНЯ ракита", 2, 61.0, 3), ("Варна", "Синя Ракита", 2, 12.5, 3)], "l string, t string, b int, a double, f int")
     keys = [r[0] for r in df.select(identity.dedup_key(*(F.col(c) for c in "ltbaf"))).collect()]
     assert keys[0] == keys[2] != keys[3] and keys[1] == "" and len(keys[0]) == 16
     df = spark.createDataFrame([("sofia", "sale", "k"), (None, "sale", "k"), ("sofia", "sale", "")], "c string, d string, k string")
@@ -138,3 +138,44 @@ def test_first_longest_alias(spark):
 def test_decode(spark):
     df = spark.createDataFrame([(bytearray("é".encode("cp1252")), "iso-8859-1"), (bytearray("€".encode("cp1252")), "windows-1252"), (bytearray("я".encode()), None)], "c binary, h string")
     assert [r[0] for r in df.select(feeds.decode(F.col("c"), F.col("h"))).collect()] == ["é", "€", "я"]
+
+
+def test_strict_numbers_integers_kinds_pets(spark):
+    values = ["1 234,5", "12'345", "1,234", "1.234.567", "1,23", "1.2.3", "12,345.67", "about 5", "-7", ""]
+    assert [None if x is None else float(x) for x in each(spark, prices.strict_number, values)] == [1234.5, 12345, 1234, 1234567, 1.23, None, 12345.67, None, -7, None]
+    assert [None if x is None else float(x) for x in each(spark, prices.first_number, ["EUR 98’500 now", "from 1 200.50", "none"])] == [98500, 1200.5, None]
+    assert each(spark, prices.single_integer, ["3 of 8", "Ground floor", "партер", "-1", "3rd", "12"]) == [3, 0, 0, -1, None, 12]
+    assert each(spark, prices.bounded_integer, [" 7 ", "Партер", "101", "-4", "x", "-3"]) == [7, 0, None, None, None, -3]
+    got = each(spark, taxonomy.kind_and_rooms, ["Продава ТРИСТАЕН апартамент", "5-стаен", "ателие", "Вила с двор", "Студио", "мезонет"])
+    assert [tuple(x) for x in got] == [("Тристаен апартамент", 3), ("Многостаен апартамент", 5), ("ателие", None), ("Къща", None), ("Студио", 1), ("Мезонет", None)]
+    assert each(spark, taxonomy.pet_fact, ["Светъл. Без домашни любимци!", "домашни любимци са разрешени", "котка"]) == ["Без домашни любимци", "домашни любимци са разрешени", ""]
+
+
+def test_places_by_half_a_name(spark):
+    aliases = [("sveti vlas", "Свети Влас"), ("stara planina", "Стара планина"), ("nova planina", "Нова планина"), ("свети влас", "Свети Влас")]
+    assert geo.distinctive_words(aliases) == {"vlas": "Свети Влас", "влас": "Свети Влас", "stara": "Стара планина", "nova": "Нова планина"}
+    assert each(spark, lambda c: geo.first_longest_alias_or_word(c, aliases), ["near vlas", "in stara planina", "planina", "sveti"]) == ["Свети Влас", "Стара планина", None, None]
+    assert each(spark, lambda c: geo.first_longest_alias(c, aliases), ["near vlas"]) == [None]
+
+
+def test_dot_segments_and_bases(spark):
+    base = F.lit("https://a.b/x/y/z.html?q")
+    assert each(spark, lambda c: recon.absolute(c, base), ["../c", "../../../c", "./d/./e/../f", "..", "/g/../h?i=../j", "k?l=1#m"]) == [
+        "https://a.b/x/c", "https://a.b/c", "https://a.b/x/y/d/f", "https://a.b/x/", "https://a.b/h?i=../j", "https://a.b/x/y/k?l=1#m",
+    ]
+    pages = spark.createDataFrame([(1, "https://a.b/x/y", '<base href="/root/"><a href="p">1</a><a href="../q">2</a>'), (2, "https://a.b/x/y", '<a href="p">1</a>')], "id int, url string, html string")
+    assert sorted((r.id, r.link) for r in recon.links_on(pages, ["id"]).collect()) == [(1, "https://a.b/q"), (1, "https://a.b/root/p"), (2, "https://a.b/x/p")]
+
+
+def test_decode_single_byte_sets(spark):
+    rows = [(bytearray("Цена".encode("cp1251")), "windows-1251"), (bytearray(b'<meta charset="koi8-r">' + "да".encode("koi8-r")), ""), (bytearray("\u017e".encode("iso-8859-2")), "ISO-8859-2"), (bytearray("ж".encode()), "no-such-set")]
+    df = spark.createDataFrame(rows, "c binary, h string")
+    assert [r[0] for r in df.select(feeds.decode(F.col("c"), F.col("h"))).collect()] == ["Цена", '<meta charset="koi8-r">да', "ž", "ж"]
+
+
+def test_unpacking(spark):
+    import gzip
+
+    df = spark.createDataFrame([(bytearray(gzip.compress(b"<html>" * 500)),), (bytearray(b"plain"),), (None,), (bytearray(b"\x1f\x8bbroken"),)], "c binary")
+    got = [None if r[0] is None else bytes(r[0]) for r in feeds.unpacked(df, "c").collect()]
+    assert got == [b"<html>" * 500, b"plain", None, None]

@@ -265,7 +265,7 @@ def test_page_extraction(spark):
 
 
 def test_rate_times_area_is_marked(spark):
-    df = spark.createDataFrame([({"price_per_m2": "909 €", "area": "33 кв. м."},)], "spec map<string,string>")
+    df = spark.createDataFrame([({"price_per_m2": "1 150 €", "area": "40 кв. м."},)], "spec map<string,string>")
     empty_ld = F.array().cast("array<map<string,string>>")
     row = df.select(html.asking_price(F.col("spec"), empty_ld, F.lit("")).alias("p")).first().p
     assert (row.value, row.derived) == (29997.0, True)
@@ -305,7 +305,7 @@ def test_reports(spark):
 
 
 def test_price_repairs_and_salvage(spark):
-    df = spark.createDataFrame([(1, 1019.0, 108.0, None, "1 019 €/m2", ""), (2, 4185000.0, 60.0, None, "Възраждане 4\n185 000 €", ""), (3, 5.0, 1.0, None, "5 €", "")], "id long, price double, area double, price_per_m2 double, price_raw string, notes string")
+    df = spark.createDataFrame([(1, 1019.0, 108.0, None, "1 019 €/m2", ""), (2, 7215000.0, 60.0, None, "Изток 7\n215 000 €", ""), (3, 5.0, 1.0, None, "5 €", "")], "id long, price double, area double, price_per_m2 double, price_raw string, notes string")
     assert [(r.id, r.price) for r in jobs.fix_prices(df).collect()] == [(1, 110052.0)]
     assert [(r.id, r.price) for r in jobs.fix_split_prices(df).collect()] == [(2, 185000.0)]
     rows = [(1, "Sunny Dreams", "sunny dreams", "Бяла", "", "", ""), (2, "Sunny Dreams", "sunny dreams", "Бяла", "", "", ""), (3, "Sunny Dreams", "sunny dreams", "", "", "", ""), (4, "Other", "other", "", "Бургac", "", ""), (5, "Other2", "other2", "", "", "", "Обзор"), (6, "x", "x", "", "", "", "")]
