@@ -71,30 +71,41 @@ def _python_fold(word: str) -> str:
     return re.sub(r"[^\w\s]+", " ", bare.casefold()).strip()
 
 
-def feature(token: str, columns: dict[str, Column], spec: dict | None = None) -> Column:
+def folded(columns: dict[str, Column], fields: tuple[str, ...]) -> Column:
+    """The text that tokens read these fields in."""
+    return fold(F.concat_ws(" ", *(columns[f] for f in fields if f in columns)))
+
+
+def feature(token: str, columns: dict[str, Column], spec: dict | None = None, texts: dict[tuple[str, ...], Column] | None = None) -> Column:
     """true / false / null for one token; columns: those that the listing has, by name. Words against come first; no
-    text is no answer; only a described view that shows something else is a no."""
+    text is no answer; only a described view that shows something else is a no. texts: folded texts by the fields that
+    they join, where they are columns already."""
     known = (spec or FEATURES).get(token)
     if known is None:
         return F.lit(None).cast("boolean")
     if token == "furnished":
         return columns.get("furnished", F.lit(None)).cast("boolean")
     yes, no, fields = known
-    text = fold(F.concat_ws(" ", *(columns[f] for f in fields if f in columns)))
+    text = (texts or {}).get(fields, folded(columns, fields))
     other = F.lit(None).cast("boolean")
     if token in VIEWS and "view" in columns:
-        other = F.when(fold(columns["view"]) != "", F.lit(False))
+        other = F.when((texts or {}).get(("view",), fold(columns["view"])) != "", F.lit(False))
     answer = F.when(_holds(text, map(_python_fold, no)), F.lit(False)).when(_holds(text, map(_python_fold, yes)), F.lit(True)).otherwise(other)
     return F.when(text != "", answer)
 
 
-def resolve(columns: dict[str, Column], spec: dict | None = None) -> Column:
+def resolve(columns: dict[str, Column], spec: dict | None = None, texts: dict[tuple[str, ...], Column] | None = None) -> Column:
     """map token -> boolean with the tokens that are decided."""
     tokens = list(spec or FEATURES)
-    every = F.map_from_arrays(F.array(*map(F.lit, tokens)), F.array(*(feature(t, columns, spec) for t in tokens)))
+    every = F.map_from_arrays(F.array(*map(F.lit, tokens)), F.array(*(feature(t, columns, spec, texts) for t in tokens)))
     return F.map_filter(every, lambda _, v: v.isNotNull())
 
 
+def field_sets(spec: dict | None = None) -> list[tuple[str, ...]]:
+    """The sets of fields that tokens read, and the view's own."""
+    return sorted({fields for token, (_, _, fields) in (spec or FEATURES).items() if token != "furnished"} | {("view",)})
+
+
 def pets_allowed(title: Column, notes: Column) -> Column:
     text = F.lower(F.concat_ws(" ", title, notes))
     return F.when(text.rlike(PETS_NO), F.lit(False)).when(text.rlike(PETS_YES), F.lit(True))

@@ -1,10 +1,11 @@
-"""Cutting the lineage of what a loop builds, so that round n does not repeat the rounds before."""
+"""Cutting the lineage of what a loop builds, so that round n does not repeat the rounds before; and settling columns."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,3 +22,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df as a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once, however often later columns and filters name them. They come from a generator
+    of one row, which the optimiser neither merges into what follows nor pushes filters through."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))

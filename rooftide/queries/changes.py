@@ -27,6 +27,7 @@ _OLD = "SELECT o_orderkey AS key, o_totalprice AS price_eur, o_orderstatus AS st
 _NEW = "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN o_totalprice - 100 ELSE o_totalprice END AS price_eur, CASE WHEN o_orderkey % 6 = 0 THEN 'X' WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderstatus END AS status, CAST(CASE WHEN o_orderkey % 8 = 0 THEN NULL ELSE o_orderkey % 5 END AS INT) AS floor FROM orders WHERE o_orderkey % 7 <> 0"
 _TRACKED = ["price_eur", "status", "floor"]
 _BOTH = f"WITH o AS ({_OLD}), i AS ({_NEW})"
+_SHOWN = "coalesce(regexp_replace(regexp_replace(({0})::DECIMAL(38, 9)::VARCHAR, '0+$', ''), '[.]$', ''), '')"
 _PRICE_MOVED = "(o.price_eur IS DISTINCT FROM i.price_eur)"
 
 
@@ -53,10 +54,11 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{_BOTH} SELECT key, 'changed' AS event, 'status' AS field, o.status AS old_value, i.status AS new_value, 5 AS changed_on FROM o JOIN i USING (key) WHERE o.status IS DISTINCT FROM i.status
+UNION ALL SELECT key, 'changed', 'price_eur', {_SHOWN.format('o.price_eur')}, {_SHOWN.format('i.price_eur')}, 5 FROM o JOIN i USING (key) WHERE {_PRICE_MOVED}
 UNION ALL SELECT i.key, 'new', '', '', '', 5 FROM i WHERE key NOT IN (SELECT key FROM o) UNION ALL SELECT o.key, 'removed', 'is_active', '1', '0', 5 FROM o WHERE is_active AND key NOT IN (SELECT key FROM i)"""
 )
 def history_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.history(_merged(spark, sf_dir, merge.SHEET), ["key"], F.lit(5)).where("field NOT IN ('price_eur')")
+    return merge.history(_merged(spark, sf_dir, merge.SHEET), ["key"], F.lit(5))
 
 
 @query(
@@ -145,10 +147,10 @@ def heading_carried_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.carried_down(rows, "user_id", "at", "heading").select("event_id", F.coalesce("carried", F.lit(-1).cast("long")).alias("carried"))
 
 
-@query("SELECT o_custkey AS id, o_orderkey AS seq, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev_price FROM orders")
+@query("SELECT o_custkey AS id, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS prev_price FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY o_custkey")
 def price_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq"), F.lag("o_totalprice").over(w).alias("prev_price"))
+    log = read(spark, sf_dir, "orders").selectExpr("o_custkey AS id", "o_orderkey AS seq", "o_orderdate AS changed_on", "'changed' AS event", "CASE WHEN o_orderkey % 3 = 0 THEN 'status' ELSE 'price_eur' END AS field", "CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING) AS old_value")
+    return merge.previous_price(log).select("id", F.col("prev_price").cast("double").alias("prev_price"))
 
 
 @query(

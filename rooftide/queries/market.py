@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features, identity, prices, taxonomy, text
@@ -122,7 +122,7 @@ def price_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN floor(o_totalprice) + 0.5 WHEN 1 THEN floor(o_totalprice) WHEN 2 THEN floor(o_totalprice) ELSE floor(o_totalprice) + 0.25 END AS value FROM orders WHERE o_totalprice >= 10000"
+    "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN floor(o_totalprice) + 0.5 WHEN 1 THEN floor(o_totalprice) WHEN 2 THEN floor(o_totalprice) ELSE floor(o_totalprice) + 0.25 END AS value FROM orders"
 )
 def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.floor("o_totalprice")
@@ -131,7 +131,7 @@ def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = F.when(F.col("id") % 4 == 0, F.concat(F.lit("price "), head, F.lit("."), tail, F.lit(",50 EUR"))).when(F.col("id") % 4 == 1, F.concat(head, F.lit(","), tail)).when(
         F.col("id") % 4 == 2, F.concat(head, F.lit("."), tail, F.lit(" EUR"))
     ).otherwise(F.concat(head, F.lit(" "), tail, F.lit(",25")))
-    rows = read(spark, sf_dir, "orders").where("o_totalprice >= 10000").withColumnRenamed("o_orderkey", "id")
+    rows = read(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "id")
     return rows.select("id", prices.number(texts).alias("value"))
 
 
@@ -144,9 +144,12 @@ def bgn_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TITLE = "array_to_string(list_filter(string_split(trim(regexp_replace(lower({}), '[^a-z0-9_ ]+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ('studio', 'flat', 'complex', 'apartment', 'residence') AND NOT regexp_full_match(w, '[0-9]+')), ' ')"
 
 
-@query(f"SELECT p_partkey AS id, {_TITLE.format('concat(p_name, chr(45), p_brand, chr(32), chr(83), chr(116), chr(117), chr(100), chr(105), chr(111), chr(32), p_size)')} AS title_norm FROM part")
+_STUDIO = "concat(p_name, '-', p_brand, ' Studio ', p_size)"
+
+
+@query(f"SELECT p_partkey AS id, {_TITLE.format(_STUDIO)} AS title_norm FROM part")
 def title_norm_latin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.title_norm(F.expr("concat(p_name, '-', p_brand, ' Studio ', p_size)")).alias("title_norm"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.title_norm(F.expr(_STUDIO)).alias("title_norm"))
 
 
 _KEYED = (
@@ -247,13 +250,13 @@ def wishlist_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {LISTINGS_SQL} SELECT id, CASE WHEN notes = 'no lift, garden' THEN 'garden=true;lift=true' WHEN notes = 'pool and lift' THEN 'lift=true;pool=true;pool_view=true' ELSE '' END AS features, CASE WHEN notes = 'no lift, garden' THEN false WHEN notes = 'pool and lift' THEN true END::VARCHAR AS wants_lift FROM listings WHERE notes NOT LIKE '%акт%' AND notes <> 'new construction'"
+    f"WITH {LISTINGS_SQL} SELECT id, CASE notes WHEN 'no lift, garden' THEN 'garden=true;lift=true' WHEN 'pool and lift' THEN 'lift=true;pool=true;pool_view=true' WHEN 'преди акт 16' THEN 'act16=true' ELSE '' END AS features, CASE notes WHEN 'no lift, garden' THEN false WHEN 'pool and lift' THEN true END::VARCHAR AS wants_lift, CASE WHEN notes = 'преди акт 16' THEN false END::VARCHAR AS wants_act16 FROM listings"
 )
 def feature_tristate(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {"title": F.col("title"), "notes": F.col("notes")}
-    rows = listings(spark, sf_dir).where("notes NOT LIKE '%акт%' AND notes <> 'new construction'")
+    rows = listings(spark, sf_dir)
     decided = F.array_sort(F.transform(F.map_entries(features.resolve(columns)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
-    return rows.select("id", F.array_join(decided, ";").alias("features"), features.requirement("lift", columns).cast("string").alias("wants_lift"))
+    return rows.select("id", F.array_join(decided, ";").alias("features"), *(features.requirement(x, columns).cast("string").alias(f"wants_{x}") for x in ("lift", "act16")))
 
 
 @query("SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'pre_act16' WHEN 1 THEN 'act16' WHEN 2 THEN 'act15' WHEN 3 THEN 'act14' WHEN 4 THEN 'pre_act14' END AS stage, p_partkey % 6 <> 5 OR p_size % 2 = 0 AS new_build FROM part")
@@ -263,17 +266,17 @@ def stage_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", taxonomy.stage_of(F.col("t")).alias("stage"), taxonomy.is_new_build(F.col("t")).alias("new_build"))
 
 
+# Two words of each benchmark text are the aliases; documents are whole, in all their languages.
 @query(
-    """WITH alias AS (SELECT item_id AS place, lower(array_to_string(list_slice(string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' '), 1, 2), ' ')) AS alias FROM benchmark WHERE regexp_full_match(text, '[ -~\n]*')),
-d AS (SELECT doc_id AS id, ' ' || trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), '([a-z])([0-9])|([0-9])([a-z])', '\\1\\3 \\2\\4', 'g')) || ' ' AS t FROM documents WHERE regexp_full_match(text, '[ -~\n]*') AND length(text) < 4000),
-c AS (SELECT DISTINCT id, trim(alias) AS alias, place FROM d JOIN alias ON contains(t, ' ' || trim(alias) || ' ') WHERE trim(alias) <> '')
+    """WITH alias AS (SELECT item_id AS place, trim(lower(array_to_string(list_slice(string_split(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'), ' '), 1, 2), ' '))) AS alias FROM benchmark),
+d AS (SELECT doc_id AS id, ' ' || trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), '([a-z])([0-9])|([0-9])([a-z])', '\\1\\3 \\2\\4', 'g')) || ' ' AS t FROM documents),
+c AS (SELECT DISTINCT id, alias, place FROM d JOIN alias ON contains(t, ' ' || alias || ' ') WHERE alias <> '')
 SELECT id, alias, place FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.id = c.id AND o.alias <> c.alias AND contains(' ' || o.alias || ' ', ' ' || c.alias || ' '))"""
 )
 def alias_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ascii_only = F.col("text").rlike(r"^[ -~\n]*$")
     head = F.array_join(F.slice(F.split(F.regexp_replace("text", "[^A-Za-z]+", " "), " "), 1, 2), " ")
-    aliases = read(spark, sf_dir, "benchmark").where(ascii_only).select(F.trim(F.lower(head)).alias("alias"), F.col("item_id").alias("place")).where("alias <> ''")
-    docs = read(spark, sf_dir, "documents").where(ascii_only & (F.length("text") < 4000))
+    aliases = read(spark, sf_dir, "benchmark").select(F.trim(F.lower(head)).alias("alias"), F.col("item_id").alias("place")).where("alias <> ''")
+    docs = read(spark, sf_dir, "documents")
     return geo.alias_matches(docs.select(F.col("doc_id").alias("id"), text.geo_norm(F.col("text")).alias("text")), aliases, 2)
 
 
@@ -289,21 +292,8 @@ def web_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), identity.web_fingerprint(F.expr("concat('https://homes.example/', p_partkey)")).alias("fingerprint"))
 
 
-@query("SELECT id, n, kind FROM (SELECT p_partkey AS id, p_type AS kind, (row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey))::INT AS n FROM part) WHERE n <= 3")
-def top_per_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("kind").orderBy(F.desc("p_retailprice"), "id")
-    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("kind"), "p_retailprice")
-    return rows.withColumn("n", F.row_number().over(w)).where("n <= 3").select("id", "n", "kind")
-
-
 @query(f"WITH {LIVE_SQL}, {GEO_SQL} SELECT count(*) AS n, sum(round(price / area))::BIGINT AS rates FROM live JOIN geo USING (id) WHERE city_active")
 def city_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = search.with_geography(search.live(listings(spark, sf_dir)), geography(spark, sf_dir)).where("city_active")
     rate = search.shown_rate(F.col("price"), F.col("area"), F.lit(None).cast("double"))
     return rows.agg(F.count("*").alias("n"), F.sum(rate).alias("rates"))
-
-
-@query(f"WITH {LISTINGS_SQL}, {AGENCIES_SQL}, {GEO_SQL} SELECT city, deal, count(*) AS n, count(*) FILTER (price IS NULL) AS unpriced, count(DISTINCT agency_id) AS agencies, min(price) AS lowest, max(price) AS highest FROM listings JOIN geo USING (id) JOIN agencies USING (agency_id) WHERE is_active GROUP BY city, deal")
-def city_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = listings(spark, sf_dir).where("is_active").join(geography(spark, sf_dir), "id").join(agencies(spark, sf_dir), "agency_id")
-    return rows.groupBy("city", "deal").agg(F.count("*").alias("n"), F.count_if(F.col("price").isNull()).alias("unpriced"), F.countDistinct("agency_id").alias("agencies"), F.min("price").alias("lowest"), F.max("price").alias("highest"))

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PUSH = re.compile(r"self\.__next_f\.push\((\[.*?\])\)\s*(?:</script>|$)", re.S)
-HEAD = re.compile(rb"(?:^|(?<=\n))[0-9a-f]+:")
 _TEXT = re.compile(rb"[0-9a-f]+:T([0-9a-f]+),")
 
 

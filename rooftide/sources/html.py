@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import features, identity, prices, taxonomy
 from ..functions.text import fold, title_norm
 from ..operators import geo
+from ..operators.lineage import settle
 
 PAGE = "struct<title:string,h1:string,og:map<string,string>,ld:array<map<string,string>>,content:string,links:array<string>>"
 # What is furniture on a page: tags, words of classes and ids between borders, and tags that never are.
@@ -248,25 +249,16 @@ RAW_CHARS, NOTES_CHARS, WINDOW_NOTES, FEATURE_WINDOW, PLACE_WINDOW = 120, 4000,
 def asking_price(spec: Column, ld: Column, content: Column, html: Column | None = None, hints: tuple[str, ...] = (), least: float = LEAST_PRICE, most: float = MOST_PRICE) -> Column:
     """struct(value, derived, raw): labelled, structured, by a site's own patterns (hints; the amount is group 1), labelled in
     text, any amount in text, rate times area; the first within bounds, with the text it was read from."""
-    fits = lambda v: F.when(v.between(least, most), v)
-
-    def quoted(value: Column, raw: Column) -> Column:
-        return F.when(fits(value).isNotNull(), F.struct(value.alias("value"), F.lit(False).alias("derived"), F.left(raw, F.lit(RAW_CHARS)).alias("raw")))
-
-    def in_text(pattern: str) -> Column:
-        found = F.zip_with(F.regexp_extract_all(content, F.lit(pattern), 1), F.regexp_extract_all(content, F.lit(pattern), 0), lambda x, whole: F.struct(prices.money(x).alias("v"), whole.alias("raw")))
-        one = F.get(F.filter(found, lambda x: x["v"].between(least, most)), F.lit(0))
-        return quoted(one["v"], one["raw"])
-
-    own = F.coalesce(ld_value(ld, "price"), ld_property(ld, LD_PRICE, LD_NO_PRICE))
-    currency = F.coalesce(ld_value(ld, "priceCurrency"), F.lit("EUR"))
-    structured = prices.number(own)
-    structured = F.when(F.upper(currency) == "BGN", F.bround(structured / prices.BGN_PER_EUR, 2)).otherwise(structured)
-    by_site = [quoted(prices.number(F.regexp_extract(html, f"(?i){h}", 1)), F.regexp_extract(html, f"(?i){h}", 0)) for h in hints if html is not None]
-    product = fits(F.bround(prices.money(spec["price_per_m2"]) * prices.number(spec["area"]), 2))
-    rate = F.when(product.isNotNull(), F.struct(product.alias("value"), F.lit(True).alias("derived"), F.concat(spec["price_per_m2"], F.lit(" × "), spec["area"]).alias("raw")))
+    amount = lambda value, raw, derived=False: F.struct(value.cast("double").alias("value"), F.lit(derived).alias("derived"), F.left(raw, F.lit(RAW_CHARS)).alias("raw"))
+    in_text = lambda pattern: F.zip_with(F.regexp_extract_all(content, F.lit(pattern), 1), F.regexp_extract_all(content, F.lit(pattern), 0), lambda x, whole: amount(prices.money(x), whole))
+    own, currency = F.coalesce(ld_value(ld, "price"), ld_property(ld, LD_PRICE, LD_NO_PRICE)), F.coalesce(ld_value(ld, "priceCurrency"), F.lit("EUR"))
+    structured = prices.number(own) / F.when(F.upper(currency) == "BGN", F.lit(prices.BGN_PER_EUR)).otherwise(F.lit(1.0))
+    by_site = [amount(prices.number(F.regexp_extract(html, f"(?i){h}", 1)), F.regexp_extract(html, f"(?i){h}", 0)) for h in hints if html is not None]
+    rate = amount(F.bround(prices.money(spec["price_per_m2"]) * prices.number(spec["area"]), 2), F.concat(spec["price_per_m2"], F.lit(" × "), spec["area"]), True)
+    first = F.array(amount(prices.money(spec["price"]), spec["price"]), amount(F.bround(structured, 2), F.concat_ws(" ", own, currency)), *by_site)
+    every = F.concat(first, in_text(MONEY_LABELLED), in_text(MONEY), F.array(rate))
     nothing = F.struct(F.lit(None).cast("double").alias("value"), F.lit(False).alias("derived"), F.lit("").alias("raw"))
-    return F.coalesce(quoted(prices.money(spec["price"]), spec["price"]), quoted(structured, F.concat_ws(" ", own, currency)), *by_site, in_text(MONEY_LABELLED), in_text(MONEY), rate, nothing)
+    return F.coalesce(F.get(F.filter(every, lambda x: x["value"].between(least, most)), F.lit(0)), nothing)
 
 
 def page_location(spec: Column, ld: Column, title: Column, url: Column, window: Column, vocabulary: list[tuple[str, str]]) -> Column:
@@ -280,55 +272,71 @@ def page_location(spec: Column, ld: Column, title: Column, url: Column, window:
 def extract(pages: DataFrame, html: str = "html", url: str = "url", vocabulary: list[tuple[str, str]] | None = None, hints: tuple[str, ...] = ()) -> DataFrame:
     """Listing records of the pages that are listings: a title, a window of text, and two of price, area and bedrooms.
     vocabulary: places (folded alias, name) to resolve locations by; hints: a site's own patterns of prices."""
-    read = with_page(pages, html).withColumn("spec", label_pairs(F.col("page.content")))
-    ld, body, spec = F.col("page.ld"), F.col("page.content"), F.col("spec")
-    heading = F.coalesce(F.nullif(F.col("page.h1"), F.lit("")), ld_value(ld, "name"), F.col("page.og")["title"], F.col("page.title"))
-    title = F.left(F.trim(F.regexp_replace(heading, f"(?U){TITLE_END}", "")), F.lit(400))
+    ld, body, spec, title = (F.col(f"__{x}") for x in ("ld", "body", "spec", "title"))
+    read = with_page(pages, html, "__page")
+    read = settle(read, __body=F.col("__page.content"), __ld=F.col("__page.ld"), __og=F.col("__page.og"))
+    heading = F.coalesce(F.nullif(F.col("__page.h1"), F.lit("")), ld_value(ld, "name"), F.col("__og")["title"], F.col("__page.title"))
+    read = settle(read, __spec=label_pairs(body), __title=F.left(F.trim(F.regexp_replace(heading, f"(?U){TITLE_END}", "")), F.lit(400)))
+    read = read.where((F.length(title) >= 3) & (F.length(body) >= LEAST_WINDOW))
+
     status_text = lambda key: F.concat_ws(" ", spec[key], title, F.left(body, F.lit(300)))
-    floor_text = F.regexp_extract(F.regexp_replace(body, ALL_FLOORS, ""), FLOOR, 0)
-    floor = F.coalesce(F.when(spec["floor"].rlike(GROUND), F.lit(0.0)), prices.number(spec["floor"]), prices.number(ld_value(ld, "floor")), prices.number(ld_property(ld, LD_FLOOR)), prices.number(floor_text))
-    own_area = F.coalesce(ld_value(ld, "floorSize.value"), ld_property(ld, LD_AREA))
-    area = F.coalesce(prices.number(spec["area"]), prices.number(own_area), prices.number(F.nullif(F.regexp_extract(body, AREA, 1), F.lit(""))))
-    less_one = lambda rooms: taxonomy.at_least_none(prices.number(rooms).cast("int") - 1)
-    own_beds, own_rooms = (F.coalesce(ld_value(ld, name), ld_property(ld, pattern)) for name, pattern in (("numberOfBedrooms", LD_BEDROOMS), ("numberOfRooms", LD_ROOMS)))
-    beds = F.coalesce(prices.number(spec["bedrooms"]).cast("int"), less_one(spec["rooms"]), prices.number(own_beds).cast("int"), less_one(own_rooms), taxonomy.bedrooms_of(title, body))
-    notes = F.coalesce(F.nullif(F.left(F.coalesce(ld_value(ld, "description"), F.col("page.og")["description"]), F.lit(NOTES_CHARS)), F.lit("")), F.left(body, F.lit(WINDOW_NOTES)))
+    texts = {
+        "area": F.coalesce(spec["area"], ld_value(ld, "floorSize.value"), ld_property(ld, LD_AREA)),
+        "area_said": F.nullif(F.regexp_extract(body, AREA, 1), F.lit("")),
+        "beds": F.coalesce(spec["bedrooms"], F.when(spec["rooms"].isNull(), F.coalesce(ld_value(ld, "numberOfBedrooms"), ld_property(ld, LD_BEDROOMS)))),
+        "rooms": F.coalesce(spec["rooms"], ld_value(ld, "numberOfRooms"), ld_property(ld, LD_ROOMS)),
+        "floor": F.coalesce(spec["floor"], ld_value(ld, "floor"), ld_property(ld, LD_FLOOR)),
+        "floor_said": F.regexp_extract(F.regexp_replace(body, ALL_FLOORS, ""), FLOOR, 0),
+        "address": ld_address(ld),
+        "notes": F.coalesce(F.nullif(F.left(F.coalesce(ld_value(ld, "description"), F.col("__og")["description"]), F.lit(NOTES_CHARS)), F.lit("")), F.left(body, F.lit(WINDOW_NOTES))),
+        "status": status_text("status"),
+        "deal": status_text("deal"),
+        "price": asking_price(spec, ld, body, F.col(html), hints),
+    }
+    read = settle(read, **{f"__{k}": v for k, v in texts.items()})
+    said = lambda k: F.col(f"__{k}")
+    floor = F.coalesce(F.when(said("floor").rlike(GROUND), F.lit(0.0)), prices.number(said("floor")), prices.number(said("floor_said")))
+    area = F.coalesce(prices.number(said("area")), prices.number(said("area_said")))
+    beds = F.coalesce(prices.number(said("beds")).cast("int"), taxonomy.at_least_none(prices.number(said("rooms")).cast("int") - 1), taxonomy.bedrooms_of(title, body))
     place = page_location(spec, ld, title, F.col(url), body, vocabulary) if vocabulary else F.lit(None).cast("string")
-    out = read.select(
-        *[c for c in pages.columns if c != html],
-        title.alias("title"),
-        title_norm(title).alias("title_norm"),
-        asking_price(spec, ld, body, F.col(html), hints).alias("price"),
-        prices.within(area, 10, 1000).alias("area"),
-        prices.within(beds, 0, 6).alias("bedrooms"),
-        prices.within(floor, -1, 30).cast("int").alias("floor"),
-        F.coalesce(place, F.lit("")).alias("location"),
-        (place.isNotNull() & (F.coalesce(spec["location"], F.lit("")) == "")).alias("location_salvaged"),
-        F.left(F.coalesce(spec["location"], ld_address(ld), title), F.lit(300)).alias("location_raw"),
-        taxonomy.kind_of(F.concat_ws(" ", spec["kind"], title)).alias("kind"),
-        taxonomy.deal_of(status_text("deal")).alias("deal"),
-        F.when(taxonomy.is_sold(status_text("status")), "sold").otherwise("active").alias("status"),
-        F.left(F.coalesce(spec["view"], F.lit("")), F.lit(300)).alias("view"),
-        yes_no(spec["furnished"]).alias("furnished"),
-        F.left(F.coalesce(spec["maintenance"], F.lit("")), F.lit(200)).alias("maintenance_raw"),
-        notes.alias("notes"),
-        F.left(F.coalesce(spec["ref"], F.lit("")), F.lit(80)).alias("ref"),
-        F.length(body).alias("__length"),
-        F.concat_ws(" ", notes, F.left(body, F.lit(FEATURE_WINDOW))).alias("__notes"),
-        F.concat_ws(" ", F.left(F.coalesce(spec["view"], F.lit("")), F.lit(300)), spec["sea_distance"]).alias("__view"),
-    ).withColumns({"price_derived": F.col("price.derived"), "price_raw": F.col("price.raw"), "price": F.col("price.value")})
+    read = settle(read, __floors=floor, __areas=area, __bedrooms=beds, __place=place)
+    found = settle(
+        read,
+        price=F.col("__price.value"),
+        price_derived=F.col("__price.derived"),
+        price_raw=F.col("__price.raw"),
+        area=prices.within(said("areas"), 10, 1000),
+        bedrooms=prices.within(said("bedrooms"), 0, 6),
+        floor=prices.within(said("floors"), -1, 30).cast("int"),
+        title=title,
+        title_norm=title_norm(title),
+        location=F.coalesce(said("place"), F.lit("")),
+        location_salvaged=said("place").isNotNull() & (F.coalesce(spec["location"], F.lit("")) == ""),
+        location_raw=F.left(F.coalesce(spec["location"], said("address"), title), F.lit(300)),
+        kind=taxonomy.kind_of(F.concat_ws(" ", spec["kind"], title)),
+        deal=taxonomy.deal_of(said("deal")),
+        status=F.when(taxonomy.is_sold(said("status")), "sold").otherwise("active"),
+        view=F.left(F.coalesce(spec["view"], F.lit("")), F.lit(300)),
+        furnished=yes_no(spec["furnished"]),
+        maintenance_raw=F.left(F.coalesce(spec["maintenance"], F.lit("")), F.lit(200)),
+        notes=said("notes"),
+        ref=F.left(F.coalesce(spec["ref"], F.lit("")), F.lit(80)),
+    )
     known = sum(F.col(c).isNotNull().cast("int") for c in ("price", "area", "bedrooms"))
-    out = out.where((F.length("title") >= 3) & (F.col("__length") >= LEAST_WINDOW) & (known >= 2))
-    columns = {"title": F.col("title"), "notes": F.col("__notes"), "view": F.col("__view"), "status": F.col("status"), "furnished": F.col("furnished")}
+    found = found.where(known >= 2)
+    columns = {"title": F.col("title"), "notes": F.concat_ws(" ", "notes", F.left(body, F.lit(FEATURE_WINDOW))), "view": F.concat_ws(" ", "view", spec["sea_distance"]), "status": F.col("status"), "furnished": F.col("furnished")}
+    sets = {fields: f"__text{i}" for i, fields in enumerate(features.field_sets())}
+    found = settle(found, **{name: features.folded(columns, fields) for fields, name in sets.items()})
     key_place = F.coalesce(F.nullif("location", F.lit("")), "location_raw")
-    return out.withColumns(
+    out = found.withColumns(
         {
             "price_per_m2": F.bround(F.try_divide(F.col("price"), F.col("area")), 2),
-            "features": features.resolve(columns),
+            "features": features.resolve(columns, texts={fields: F.col(name) for fields, name in sets.items()}),
             "dedup_key": identity.dedup_key(key_place, F.col("title"), F.col("bedrooms"), F.col("area"), F.col("floor")),
             "fingerprint": identity.web_fingerprint(F.col(url)),
         }
-    ).drop("__length", "__notes", "__view")
+    )
+    return out.drop(html, *(c for c in out.columns if c.startswith("__")))
 
 
 def meta_images(page: Column) -> Column:
