@@ -268,7 +268,7 @@ def test_rate_times_area_is_marked(spark):
     df = spark.createDataFrame([({"price_per_m2": "1 150 €", "area": "40 кв. м."},)], "spec map<string,string>")
     empty_ld = F.array().cast("array<map<string,string>>")
     row = df.select(html.asking_price(F.col("spec"), empty_ld, F.lit("")).alias("p")).first().p
-    assert (row.value, row.derived) == (29997.0, True)
+    assert (row.value, row.derived) == (46000.0, True)
 
 
 def test_links_and_siblings(spark):
@@ -307,10 +307,10 @@ def test_reports(spark):
 def test_price_repairs_and_salvage(spark):
     df = spark.createDataFrame([(1, 1019.0, 108.0, None, "1 019 €/m2", ""), (2, 7215000.0, 60.0, None, "Изток 7\n215 000 €", ""), (3, 5.0, 1.0, None, "5 €", "")], "id long, price double, area double, price_per_m2 double, price_raw string, notes string")
     assert [(r.id, r.price) for r in jobs.fix_prices(df).collect()] == [(1, 110052.0)]
-    assert [(r.id, r.price) for r in jobs.fix_split_prices(df).collect()] == [(2, 185000.0)]
-    rows = [(1, "Sunny Dreams", "sunny dreams", "Бяла", "", "", ""), (2, "Sunny Dreams", "sunny dreams", "Бяла", "", "", ""), (3, "Sunny Dreams", "sunny dreams", "", "", "", ""), (4, "Other", "other", "", "Бургac", "", ""), (5, "Other2", "other2", "", "", "", "Обзор"), (6, "x", "x", "", "", "", "")]
+    assert [(r.id, r.price) for r in jobs.fix_split_prices(df).collect()] == [(2, 215000.0)]
+    rows = [(1, "Sunny Dreams", "sunny dreams", "Бяла", "", "", ""), (2, "Sunny Dreams", "sunny dreams", "Бяла", "", "", ""), (3, "Sunny Dreams", "sunny dreams", "", "", "", ""), (4, "Other", "other", "", "Burgаs", "", ""), (5, "Other2", "other2", "", "", "", "Обзор"), (6, "x", "x", "", "", "", "")]
     offers_df = spark.createDataFrame(rows, "id long, title string, title_norm string, location string, location_raw string, notes string, source_tab string")
-    vocabulary = [("бургас", "Бургас"), ("обзор", "Обзор")]
+    vocabulary = [("burgas", "Бургас"), ("обзор", "Обзор")]
     assert {r.id: (r.location, r.source) for r in jobs.salvage_locations(offers_df, vocabulary).collect()} == {3: ("Бяла", "corpus"), 4: ("Бургас", "reread"), 5: ("Обзор", "tab")}
     assert jobs.salvage_to_fixpoint(offers_df, vocabulary).where("location = ''").count() == 1
 
@@ -320,3 +320,30 @@ def test_verify_and_checksums(spark):
     seen = spark.createDataFrame([("u1", 404), ("u2", 200)], "url string, status int")
     assert {r.url: (r.verdict, r.is_active, r.last_seen) for r in jobs.verify(df, seen, F.lit(7)).collect()} == {"u1": ("withdrawn", False, 1), "u2": ("alive", True, 7), "u3": ("unknown", True, 1)}
     assert merge.row_checksum(df).first() == merge.row_checksum(df.repartition(2)).first() != merge.row_checksum(df.limit(2)).first()
+
+
+def test_chrome_by_words_first_heading_and_structured_facts():
+    from rooftide.sources import html
+
+    page = html.parse_page(
+        '<title>Site</title><div class="main-menu">77 000 EUR</div><div class="research">kept words</div><button>66 000 EUR</button><h1>First heading</h1><p>body</p><h1>Second</h1><div id="property-modal">gone</div>'
+        '<script type="application/ld+json">{"@type":"House","address":{"addressLocality":"Sofia"}}</script>'
+    )
+    assert page["h1"] == "First heading" and page["content"].startswith("First heading") and "Second" in page["content"]
+    assert not any(x in page["content"] for x in ("77 000", "66 000", "gone")) and len(page["ld"]) == 2
+    buried = html.parse_page('<div class="page header"><h1>Buried heading</h1></div><p>text</p>')
+    assert buried["h1"] == "Buried heading" and buried["content"] == "text"
+
+
+def test_long_reports_say_that_they_are_cut(spark):
+    lines = report.to_markdown(spark.range(7), limit=5).splitlines()
+    assert len(lines) == 8 and lines[-1] == "(2 more rows)" and len(report.to_markdown(spark.range(5), limit=5).splitlines()) == 7
+
+
+def test_run_in_order(spark):
+    one = spark.range(1)
+    steps = {"sites": lambda t: {"sites": t["sheets"]}, "sheets": lambda t: {"sheets": one}, "rematch": lambda t: {"x": t["sites"]}}
+    tables, ran = jobs.crawl_all({}, steps, skip=("rematch",))
+    assert ran == ["sheets", "sites"] and set(tables) == {"sheets", "sites"}
+    with pytest.raises(ValueError, match="unknown"):
+        jobs.crawl_all({}, {"other": lambda t: t})
