@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import changes, market, pages, rules
+from .queries import adapters, changes, market, pages, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (market, changes, pages, rules)
+MODULES = (market, changes, pages, rules, adapters)
 
 
 def queries() -> dict[str, Query]:
