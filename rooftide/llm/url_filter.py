@@ -101,8 +101,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule] | DataFrame = DEFAULT_RUL
         .groupBy("__url")
         .agg(F.max_by(F.struct("label", "verdict"), "rank").alias("won"))
     )
-    # A table, so that Spark may split the rows of a URL that is everywhere.
-    return base.join(materialize(best, "judged"), "__url", "left").select(
+    # A table, so that Spark may split the rows of a URL that is everywhere; it grows with the URLs, so it is never broadcast.
+    return base.join(materialize(best, "judged").hint("merge"), "__url", "left").select(
         F.col(id_col),
         url_host(F.col("__url")).alias("host"),
         url_path(F.col("__url")).alias("path"),
