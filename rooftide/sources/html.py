@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -33,6 +34,8 @@ NEVER_CHROME = frozenset(("html", "body", "main", "article"))
 CHROME = re.compile(rf"(?i)(?:^|[-_ ])(?:{'|'.join(CHROME_WORDS)})(?:$|[-_ ])")
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 BREAKS = frozenset(("p", "br", "div", "li", "tr", "td", "th", "h1", "h2", "h3", "h4", "table", "ul", "ol", "section", "article", "dt", "dd"))
+# An ampersand, and the name or number of a character up to its semicolon, if it is one.
+REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9A-Fa-f]+;|[A-Za-z][A-Za-z0-9]*;)?")
 LEAST_TEXT, LARGE_PAGE, ANCHOR, LEAST_HEADING, LEAST_WINDOW = 300, 5000, 40, 8, 120
 TITLE_END = r"\s+[|–—]\s.*$"
 
@@ -42,15 +45,16 @@ class _Reader(HTMLParser):
     JSON-LD and links of the whole page. A chrome subtree ends with the tag that began it, however sloppily those inside
     are closed."""
 
-    def __init__(self, strict: bool) -> None:
+    def __init__(self, strict: bool, kept: str = "") -> None:
+        """kept: a character that stands for ampersands which are text."""
         super().__init__(convert_charrefs=True)
-        self.strict, self.open, self.skipping = strict, [], 0
+        self.strict, self.kept, self.open, self.skipping = strict, kept, [], 0
         self.text, self.title, self.og, self.ld, self.links = [], [], {}, [], []
         self.headings: list[tuple[bool, list[str]]] = []  # whether outside chrome, and the parts
         self.into: list | None = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = dict(attrs)
+        a = {k: v.replace(self.kept, "&") if v and self.kept else v for k, v in attrs}
         name = (a.get("property") or a.get("name") or "").lower()
         if tag == "meta" and ":" in name and a.get("content"):
             self.og.setdefault(name.removeprefix("og:"), a["content"])
@@ -86,6 +90,7 @@ class _Reader(HTMLParser):
                     break
 
     def handle_data(self, data: str) -> None:
+        data = data.replace(self.kept, "&") if self.kept else data
         if self.into is self.ld and self.ld:
             self.ld[-1] += data
             return
@@ -119,22 +124,30 @@ def _lines(parts: list[str]) -> str:
     return "\n".join(x for x in (" ".join(line.split()) for line in "".join(parts).split("\n")) if x)
 
 
-def _read(html: str, strict: bool) -> _Reader:
-    reader = _Reader(strict)
+def _read(html: str, strict: bool, kept: str = "") -> _Reader:
+    reader = _Reader(strict, kept)
     reader.feed(html)
     reader.close()
     return reader
 
 
-def parse_page(html: str | None) -> dict:
-    """The page as a dict of PAGE. The window starts at the heading where one is found in the text: the first h1, else what
+def _keep_open(html: str) -> tuple[str, str]:
+    """html with a character that it does not hold in place of each ampersand that begins no reference with a semicolon."""
+    kept = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in html)
+    own = lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else kept + (m[1] or "")
+    return REFERENCE.sub(own, html), kept
+
+
+def parse_page(html: str | None, closed: bool = False) -> dict:
+    """The page as a dict of PAGE. closed: only references with their semicolon stand for characters, and what a cut left of
+    one stays as it is; else names without it count where HTML lets them. The window starts at the heading where one is found in the text: the first h1, else what
     the page's data or its title calls the listing. If next to nothing is left outside chrome, the words misjudged the page,
     and it is read again without them where that gives more."""
-    html = html or ""
-    reader = _read(html, True)
+    html, kept = _keep_open(html or "") if closed else (html or "", "")
+    reader = _read(html, True, kept)
     content = _lines(reader.text)
     if len(content) < LEAST_TEXT and len(html) > LARGE_PAGE:
-        loose = _read(html, False)
+        loose = _read(html, False, kept)
         if len(_lines(loose.text)) > len(content):
             reader, content = loose, _lines(loose.text)
     ld: list[dict] = []
@@ -155,14 +168,15 @@ def parse_page(html: str | None) -> dict:
 LD_KINDS = ("RealEstateListing", "Residence", "Apartment", "House", "Product", "SingleFamilyResidence", "Offer", "Accommodation")
 
 
-def _parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for part in pages:
-        yield pd.DataFrame([parse_page(x) for x in part], columns=["title", "h1", "og", "ld", "content", "links"])
+def with_page(pages: DataFrame, html: str = "html", name: str = "page", closed: bool = False) -> DataFrame:
+    """pages with what parse_page finds."""
 
+    def parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for part in pages:
+            yield pd.DataFrame([parse_page(x, closed) for x in part], columns=["title", "h1", "og", "ld", "content", "links"])
 
-def with_page(pages: DataFrame, html: str = "html", name: str = "page") -> DataFrame:
     # Made here, as a UDF's type can only be read once there is a session.
-    read = F.pandas_udf(_parsed, PAGE)
+    read = F.pandas_udf(parsed, PAGE)
     return pages.withColumn(name, read(F.col(html)))
 
 

@@ -335,6 +335,16 @@ def test_chrome_by_words_first_heading_and_structured_facts():
     assert buried["h1"] == "Buried heading" and buried["content"] == "text"
 
 
+def test_references_cut_off_stay_as_they_are(spark):
+    text = '<h1>a&amp;&amp;&amp</h1><a href="/x?a=1&amp;b=2&copy">l</a><p>R&D &quot &ampere; &#65; &#x42; &#6</p><script type="application/ld+json">{"name": "A & B &amp"}</script>'
+    page = html.parse_page(text, closed=True)
+    assert (page["h1"], page["links"], page["ld"]) == ("a&&&amp", ["/x?a=1&b=2&copy"], [{"name": "A & B &amp"}])
+    assert page["content"].endswith("R&D &quot &ampere; A B &#6")
+    assert html.parse_page(text)["h1"] == "a&&&"
+    row = html.with_page(spark.createDataFrame([(text,)], "html string"), closed=True).first().page
+    assert row.h1 == "a&&&amp"
+
+
 def test_long_reports_say_that_they_are_cut(spark):
     lines = report.to_markdown(spark.range(7), limit=5).splitlines()
     assert len(lines) == 8 and lines[-1] == "(2 more rows)" and len(report.to_markdown(spark.range(5), limit=5).splitlines()) == 7
