@@ -323,7 +323,7 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = "repeat(concat(p_partkey, 'x'), 2000)"
     content = f"CASE p_partkey % 4 WHEN 0 THEN concat(unhex('FFD8FF'), CAST({body} AS BINARY)) WHEN 1 THEN concat(unhex('52494646AAAAAAAA57454250'), CAST({body} AS BINARY)) WHEN 2 THEN unhex('FFD8') ELSE CAST(concat('<html>', {body}) AS BINARY) END"
     files = read(spark, sf_dir, "part").selectExpr("p_partkey % 300 AS offer_id", "p_partkey AS position", f"{content} AS content", "CAST(p_partkey AS STRING) AS path")
-    kept = feeds.import_images(files, each=1000).groupBy("offer_id").agg(F.count("*").alias("images"))
+    kept = feeds.import_images(files, each=None).groupBy("offer_id").agg(F.count("*").alias("images"))
     broken = feeds.broken_images(files.select("path"), files).groupBy((F.col("path").cast("long") % 300).alias("offer_id")).agg(F.count("*").alias("broken"))
     every = files.select("offer_id").distinct().join(kept, "offer_id", "left").join(broken, "offer_id", "left")
     return every.select("offer_id", F.coalesce("images", F.lit(0).cast("long")).alias("images"), F.coalesce("broken", F.lit(0).cast("long")).alias("broken"))

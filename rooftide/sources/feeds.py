@@ -207,11 +207,14 @@ def image_kind(content: Column) -> Column:
     return out
 
 
-def import_images(files: DataFrame, each: int = IMAGES_EACH) -> DataFrame:
-    """(offer_id, sha256, position, kind): up to eight distinct images of a listing, in order. files: offer_id, position, content."""
+def import_images(files: DataFrame, each: int | None = IMAGES_EACH) -> DataFrame:
+    """(offer_id, sha256, position, kind): distinct images of a listing, the first each of them, or all if that is None. files:
+    offer_id, position, content."""
     good = files.where((F.length("content") >= LEAST_IMAGE) & image_kind(F.col("content")).isNotNull())
     hashed = good.select("offer_id", "position", F.sha2("content", 256).alias("sha256"), image_kind(F.col("content")).alias("kind"))
     once = hashed.groupBy("offer_id", "sha256").agg(F.min("position").alias("position"), F.first("kind").alias("kind"))
+    if each is None:
+        return once
     w = Window.partitionBy("offer_id").orderBy("position", "sha256")
     return once.withColumn("place", F.row_number().over(w)).where(F.col("place") <= each).drop("place")
 

@@ -335,6 +335,20 @@ def test_chrome_by_words_first_heading_and_structured_facts():
     assert buried["h1"] == "Buried heading" and buried["content"] == "text"
 
 
+def test_image_files_of_many_images(spark, tmp_path):
+    from rooftide.queries import rules
+
+    # 1,500 good files and 1,500 broken ones of one offer.
+    spark.range(6000).selectExpr("id * 150 + id % 2 AS p_partkey").where("p_partkey % 300 = 0 OR p_partkey % 300 = 151").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.offer_id: (r.images, r.broken) for r in rules.image_files(spark, str(tmp_path)).collect()}
+    want = {o: [0, 0] for o in (0, 151)}
+    for i in range(6000):
+        key = i * 150 + i % 2
+        if key % 300 in want:
+            want[key % 300][key % 4 >= 2] += 1
+    assert got == {o: tuple(n) for o, n in want.items()} and max(map(max, want.values())) > 1000
+
+
 def test_references_cut_off_stay_as_they_are(spark):
     text = '<h1>a&amp;&amp;&amp</h1><a href="/x?a=1&amp;b=2&copy">l</a><p>R&D &quot &ampere; &#65; &#x42; &#6</p><script type="application/ld+json">{"name": "A & B &amp"}</script>'
     page = html.parse_page(text, closed=True)
