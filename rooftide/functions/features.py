@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .taxonomy import stage_of
-from .text import fold
+from .text import fold, fold_part, trimmed
 
 #: Our own list; the parking words the market uses.
 PARKING_WORDS = ("паркомясто", "паркоместа", "паркинг", "гараж", "парковка", "parking", "garage", "stellplatz")
@@ -76,6 +76,16 @@ def folded(columns: dict[str, Column], fields: tuple[str, ...]) -> Column:
     return fold(F.concat_ws(" ", *(columns[f] for f in fields if f in columns)))
 
 
+def folded_parts(columns: dict[str, Column]) -> dict[str, Column]:
+    """Parts of those texts by column; null where the column is."""
+    return {name: F.when(c.isNotNull(), fold_part(c.cast("string"))) for name, c in columns.items()}
+
+
+def joined(parts: dict[str, Column], fields: tuple[str, ...]) -> Column:
+    """folded, from folded_parts."""
+    return trimmed(F.concat_ws(" ", *(parts[f] for f in fields if f in parts)))
+
+
 def feature(token: str, columns: dict[str, Column], spec: dict | None = None, texts: dict[tuple[str, ...], Column] | None = None) -> Column:
     """true / false / null for one token; columns: those that the listing has, by name. Words against come first; no
     text is no answer; only a described view that shows something else is a no. texts: folded texts by the fields that

@@ -6,6 +6,7 @@ Java's patterns fold case and see letters beyond ASCII only with (?iu) and (?U);
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,6 +45,11 @@ def lit_array(values) -> Column:
     return F.array(*(F.lit(v) for v in values))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it: inside lambdas and generators nothing else shares it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def translate(text: Column, table: dict[str, str]) -> Column:
     return F.translate(text, "".join(table), "".join(table.values()))
 
@@ -53,10 +59,19 @@ def unaccent(text: Column) -> Column:
     return F.regexp_replace(translate(text, _BASES), r"\p{M}+", "")
 
 
+def fold_part(text: Column) -> Column:
+    """fold, but for outer white space: the fold of texts joined by spaces is that of their parts, joined and trimmed."""
+    folded = F.replace(F.lower(unaccent(F.coalesce(text, F.lit("")))), F.lit("ß"), F.lit("ss"))
+    return F.regexp_replace(folded, r"(?U)[^\w\s]+", " ")
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def fold(text: Column) -> Column:
     """Lower case without marks, punctuation as spaces, outer white space gone. Null becomes ''."""
-    folded = F.replace(F.lower(unaccent(F.coalesce(text, F.lit("")))), F.lit("ß"), F.lit("ss"))
-    return F.regexp_replace(F.regexp_replace(folded, r"(?U)[^\w\s]+", " "), r"(?U)^\s+|\s+$", "")
+    return trimmed(fold_part(text))
 
 
 def romanise(text: Column, russian: bool = True) -> Column:

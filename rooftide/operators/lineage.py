@@ -1,4 +1,5 @@
-"""Cutting the lineage of what a loop builds, so that round n does not repeat the rounds before; and settling columns."""
+"""Cutting the lineage of what a loop builds, so that round n does not repeat the rounds before; settling columns; and dealing
+out rows."""
 
 from __future__ import annotations
 
@@ -24,6 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, rows: int = 2500) -> DataFrame:
+    """df dealt out to tasks of about so many rows, where each row is much work: a small file would be one task, however many
+    rows it holds. Rows that grow should grow after it."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 def settle(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that are computed once, however often later columns and filters name them. They come from a generator
     of one row, which the optimiser neither merges into what follows nor pushes filters through."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features, identity, prices, taxonomy, text
 from ..operators import geo, latest, merge, recon, search
-from ..operators.lineage import shared_folder
+from ..operators.lineage import shared_folder, spread
 from ..plans import jobs
 from ..sources import catalogue, feeds, flight, html
 from ..streaming import ingest
@@ -39,8 +39,10 @@ def _numbers(values: list[int | None], key: str = "p_partkey") -> str:
     return f"CAST(CASE {key} % {len(values)} {rows} END AS INT)"
 
 
-def _parts(spark: SparkSession, sf_dir: str, **columns: str) -> DataFrame:
-    return read(spark, sf_dir, "part").selectExpr("p_partkey AS id", *(f"{e} AS {c}" for c, e in columns.items()))
+def _parts(spark: SparkSession, sf_dir: str, heavy: bool = False, **columns: str) -> DataFrame:
+    """heavy: what becomes of a row is much work, so rows are dealt out first."""
+    part = read(spark, sf_dir, "part")
+    return (spread(part.select("p_partkey", "p_size")) if heavy else part).selectExpr("p_partkey AS id", *(f"{e} AS {c}" for c, e in columns.items()))
 
 
 # --- filters ----------------------------------------------------------------------------------------------------------
@@ -373,7 +375,7 @@ CASE WHEN p_partkey % 7 = 0 THEN '<p>Статус: продаден</p>' ELSE ''
 CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE 1 + p_size % 9 END::INT AS floor, CASE WHEN p_partkey % 7 = 0 THEN 'sold' ELSE 'active' END AS status, true AS furnished, 'Изгрев' AS location FROM part"""
 )
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html.extract(_parts(spark, sf_dir, url="concat('https://h/', p_partkey)", html=_HOME), vocabulary=[("изгрев", "Изгрев"), ("парк", "Парк")])
+    found = html.extract(_parts(spark, sf_dir, heavy=True, url="concat('https://h/', p_partkey)", html=_HOME), vocabulary=[("изгрев", "Изгрев"), ("парк", "Парк")])
     return found.select("id", "title", "price", "price_raw", "area", "bedrooms", "floor", "status", "furnished", "location")
 
 

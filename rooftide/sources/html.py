@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features, identity, prices, taxonomy
-from ..functions.text import fold, title_norm
+from ..functions.text import fold, once, title_norm
 from ..operators import geo
 from ..operators.lineage import settle
 
@@ -209,11 +209,17 @@ YES, NO, GROUND = r"(?iu)^(да|има|есть|yes|true|\+)", r"(?iu)^(не|н
 def label_pairs(content: Column) -> Column:
     """map field -> value from 'label: value' lines; each pair goes to the first field its label fits, and the first pair of a
     field wins."""
-    names, values = (F.regexp_extract_all(content, F.lit(PAIR), i) for i in (1, 2))
+    # No pair goes over the end of a line, so only lines with a colon are searched.
+    lines = F.array_join(F.filter(F.split(content, "\n"), lambda x: x.contains(":")), "\n")
+    names, values = (F.regexp_extract_all(lines, F.lit(PAIR), i) for i in (1, 2))
     pairs = F.zip_with(names, values, lambda a, b: F.struct(taxonomy.first_match(F.trim(a), LABELS).alias("key"), F.trim(b).alias("value")))
     good = F.filter(pairs, lambda p: p["key"].isNotNull() & (p["value"] != ""))
-    keys = F.array_distinct(F.transform(good, lambda p: p["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter(good, lambda p: p["key"] == k)[0]["value"]))
+
+    def first_of_each(good: Column) -> Column:
+        keys = F.array_distinct(F.transform(good, lambda p: p["key"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.filter(good, lambda p: p["key"] == k)[0]["value"]))
+
+    return once(good, first_of_each)
 
 
 def yes_no(text: Column) -> Column:
@@ -340,7 +346,9 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", vocabulary:
     found = found.where(known >= 2)
     columns = {"title": F.col("title"), "notes": F.concat_ws(" ", "notes", F.left(body, F.lit(FEATURE_WINDOW))), "view": F.concat_ws(" ", "view", spec["sea_distance"]), "status": F.col("status"), "furnished": F.col("furnished")}
     sets = {fields: f"__text{i}" for i, fields in enumerate(features.field_sets())}
-    found = settle(found, **{name: features.folded(columns, fields) for fields, name in sets.items()})
+    read_in = {f for fields in sets for f in fields if f in columns}
+    found = settle(found, **{f"__part_{f}": c for f, c in features.folded_parts({f: columns[f] for f in sorted(read_in)}).items()})
+    found = settle(found, **{name: features.joined({f: F.col(f"__part_{f}") for f in read_in}, fields) for fields, name in sets.items()})
     key_place = F.coalesce(F.nullif("location", F.lit("")), "location_raw")
     out = found.withColumns(
         {

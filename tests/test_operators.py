@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from rooftide.functions import features
 from rooftide.operators import fuzzy, geo, latest, match, merge, recon, report, search
 from rooftide.plans import jobs
 from rooftide.sources import feeds, html
@@ -349,6 +350,28 @@ def test_image_files_of_many_images(spark, tmp_path):
     assert got == {o: tuple(n) for o, n in want.items()} and max(map(max, want.values())) > 1000
 
 
+@pytest.mark.parametrize("name", ["listing_pages"])
+def test_pages_of_a_small_file_are_dealt_out(spark, tmp_path, name):
+    from rooftide.queries import rules
+
+    spark.range(6000).selectExpr("id AS p_partkey", "CAST(id % 50 + 1 AS INT) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    assert rules.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_texts_folded_in_parts(spark):
+    rows = [("Море!", "?", None), (None, None, None), ("", "Straße, \u0301x", "sea! view"), ("!", "no", "ΟΔΟΣ"), (" a ", "-b-", "c.")]
+    columns = {c: F.col(c) for c in ("title", "notes", "view")}
+    parts, fields = features.folded_parts(columns), ("view", "title", "notes", "documents")
+    got = spark.createDataFrame(rows, "title string, notes string, view string").select(features.folded(columns, fields).alias("a"), features.joined(parts, fields).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and got[1].b == "" and "sea  view" in got[2].b
+
+
+def test_label_pairs_by_line(spark):
+    text = "Гледка към: \n: 5\nno colon here Цена 5\nЦена: 5 € Площ: 60\nПлощ:70\nЦена: 9"
+    got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(html.label_pairs(F.col("t")).alias("m")).collect()
+    assert got[0].m == {"price": "5 € Площ", "area": "70"} and got[1].m == {} and got[2].m is None
+
+
 def test_references_cut_off_stay_as_they_are(spark):
     text = '<h1>a&amp;&amp;&amp</h1><a href="/x?a=1&amp;b=2&copy">l</a><p>R&D &quot &ampere; &#65; &#x42; &#6</p><script type="application/ld+json">{"name": "A & B &amp"}</script>'
     page = html.parse_page(text, closed=True)
