@@ -388,7 +388,7 @@ _DATA = """concat('<script type="application/ld+json">{"@graph":[{"@type":"Apart
 (1 + p_size % 4)::INT AS bedrooms, (1 + p_size % 9)::INT AS floor, concat('Main ', p_size, ' Sofia') AS location_raw FROM part"""
 )
 def structured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html.extract(_parts(spark, sf_dir, url="concat('https://h/', p_partkey)", html=_DATA))
+    found = html.extract(_parts(spark, sf_dir, heavy=True, url="concat('https://h/', p_partkey)", html=_DATA))
     return found.select("id", "title", "price", "area", "bedrooms", "floor", "location_raw")
 
 

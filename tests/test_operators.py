@@ -350,7 +350,7 @@ def test_image_files_of_many_images(spark, tmp_path):
     assert got == {o: tuple(n) for o, n in want.items()} and max(map(max, want.values())) > 1000
 
 
-@pytest.mark.parametrize("name", ["listing_pages"])
+@pytest.mark.parametrize("name", ["listing_pages", "structured_pages"])
 def test_pages_of_a_small_file_are_dealt_out(spark, tmp_path, name):
     from rooftide.queries import rules
 
