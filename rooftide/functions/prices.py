@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import once
+
 # Units and currencies.
 PER_M2 = r"(?iu)(/|на\s+|per\s+)\s*(m2|m²|кв\.?\s*м|кв\.м|sq\.?\s*m|square\s*met)"
 CURRENCY = r"(?iu)(€|EUR|лв\.?|BGN)"
@@ -74,7 +76,10 @@ GROUP_MARKS = r"(?U)[\s'’]+"
 def strict_number(text: Column) -> Column:
     """A whole text that is one number; anything else is null. With comma and point the one further right is decimal; alone,
     either groups if three digits follow it every time, else it is the decimal point."""
-    flat = F.regexp_replace(text, GROUP_MARKS, "")
+    return once(F.regexp_replace(text, GROUP_MARKS, ""), _strict)
+
+
+def _strict(flat: Column) -> Column:
     comma, point = F.instr(F.reverse(flat), ","), F.instr(F.reverse(flat), ".")
     bare = lambda x, mark: F.replace(x, F.lit(mark), F.lit(""))
     as_point = lambda x: F.replace(x, F.lit(","), F.lit("."))

@@ -25,10 +25,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, rows: int = 2500) -> DataFrame:
-    """df dealt out to tasks of about so many rows, where each row is much work: a small file would be one task, however many
+def spread(df: DataFrame, rows: int = 2500, *keys: str) -> DataFrame:
+    """df dealt out, by keys if any, to tasks of about so many rows, where each row is much work: a small file would be one task, however many
     rows it holds. Rows that grow should grow after it."""
-    return df.repartition(max(1, -(-df.count() // rows)))
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)
 
 
 def settle(df: DataFrame, **columns: Column) -> DataFrame:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import spread
 from ..sources import sites, tree
 from ._tables import read
 
@@ -93,8 +94,10 @@ CASE WHEN outcome = 'offer' THEN area END::DOUBLE AS area, CASE WHEN outcome = '
 UNION ALL SELECT listing, NULL, 'rejected', CASE WHEN away THEN 'the development is outside the city' ELSE 'a unit without a number of its own' END, NULL, NULL, NULL, NULL FROM lists WHERE away OR twice"""
 )
 def development_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A development has at most a few units, so its list is put together in one row."""
-    units = read(spark, sf_dir, "lineitem").selectExpr(*(f"{e} AS {n}" for n, e in _UNIT.items()))
+    """A development has at most a few units, so its list is put together in one row. Units are dealt out by development before
+    they become markup: the lists then need no exchange of their own, and no few tasks read them all."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
+    units = spread(lines, 20_000, "l_orderkey").selectExpr(*(f"{e} AS {n}" for n, e in _UNIT.items()))
     lists = units.groupBy("listing").agg(F.array_join(F.array_sort(F.collect_list(F.expr(_ROW))), "").alias("rows"))
     pages = lists.withColumn("url", F.expr("concat('https://www.bulgarianproperties.com/p/AD', listing, 'BG_project.html')"))
     pages = pages.selectExpr("listing", "url", f"{_DEVELOPMENT} AS project_html", "concat('<div id=\"price-list\">', rows, '</div>') AS html")
