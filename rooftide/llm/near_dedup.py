@@ -195,9 +195,9 @@ def _with_hubs(batches: Iterator[pa.RecordBatch], compare: Callable) -> Iterator
 
 
 def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups (key, ties: array of (hubs, rows)) -> (key, hub, label, rank, top). Hubs that rows connect share a label,
-    the smallest hub, and a rank: from 1 for the set of hubs with the fewest rows to top."""
-    out: list[list] = [[] for _ in range(5)]
+    """Groups (key, ties: array of (hubs, rows)) -> (key, hub, label, rank, top, first). Hubs that rows connect share a
+    label, the smallest hub, and a rank: from 1 for the set of hubs with the fewest rows to top. first: of one row a key."""
+    out: list[list] = [[] for _ in range(6)]
     for batch in batches:
         for key, ties in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "ties")), strict=True):
             label = {h: h for t in ties for h in t["hubs"]}
@@ -208,11 +208,12 @@ def _ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for t in ties:
                 rows[label[t["hubs"][0]]] += t["rows"]
             rank = {x: r for r, x in enumerate(sorted(rows, key=lambda x: (rows[x], x)), 1)}
-            for h, x in label.items():
-                for column, value in zip(out, (key, h, x, rank[x], len(rank)), strict=True):
+            for n, (h, x) in enumerate(label.items()):
+                for column, value in zip(out, (key, h, x, rank[x], len(rank), n == 0), strict=True):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), *(pa.array(c, pa.int32()) for c in out[3:])], ["key", "hub", "label", "rank", "top"])
-        out = [[] for _ in range(5)]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["key", "hub", "label", "rank", "top", "first"])
+        out = [[] for _ in range(6)]
 
 
 def _open_blocks(batches: Iterator[pa.RecordBatch], compare: Callable) -> Iterator[pa.RecordBatch]:
@@ -250,25 +251,26 @@ def link_large(large: DataFrame, compare: Callable) -> DataFrame:
     edges = tried.select(F.col("id").alias("a"), F.explode("hubs").alias("b")).where("a <> b")
     # Few rows a group: its hubs' subsets.
     ties = tried.where("size(hubs) > 0").groupBy("key", "hubs").agg(F.count("*").alias("rows")).groupBy("key").agg(F.collect_list(F.struct("hubs", "rows")).alias("ties"))
-    ranks = materialize(ties.mapInArrow(_ranked, "key long, hub long, label long, rank int, top int"), "ranks")
-    tops = ranks.select("key", "top").distinct()
+    ranks = materialize(ties.mapInArrow(_ranked, "key long, hub long, label long, rank int, top int, first boolean"), "ranks")
+    tops = ranks.where("first").select("key", "top")
     rest = ranks.where("top > 1").select("key").union(tried.where("size(hubs) = 0").select("key")).distinct()
     if not rest.head(1):
         return edges
     own = tried.join(materialize(rest, "rest"), "key").withColumn("hub", F.get("hubs", F.lit(0)))
-    own = own.join(ranks.drop("top"), ["key", "hub"], "left").join(materialize(tops, "tops"), "key")
+    own = own.join(ranks.drop("top", "first"), ["key", "hub"], "left").join(tops, "key")
     own = own.select("key", "id", F.coalesce("label", "id").alias("label"), F.coalesce("rank", F.lit(0)).alias("rank"), "top")
     ranked = materialize(large.join(own, ["key", "id"]), "ranked")
     parts = lambda rows, limit: F.ceil(F.greatest(F.count("*") / rows, F.sum(F.octet_length("payload")) / limit))
+    counts = ranked.groupBy("key", "rank").agg(parts(OPEN_A_BLOCK, BLOCK_BYTES // 4).alias("open_parts"), parts(ROWS_A_BLOCK, BLOCK_BYTES).alias("block_parts"))
+    counts = materialize(counts, "parts")
 
-    def blocks(df: DataFrame, rows: int, limit: int, name: str) -> DataFrame:
-        counts = materialize(df.groupBy("key", "rank").agg(parts(rows, limit).alias("parts")), "parts")
-        cut = df.join(counts, ["key", "rank"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        cut = df.join(counts.select("key", "rank", F.col(f"{name}_parts").alias("parts")), ["key", "rank"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
         # Dealt by block: a group's rows must not stay together where the join has dealt them by group.
         cut = cut.repartition("key", "rank", "part").groupBy("key", "rank", "part").agg(F.collect_list(F.struct("id", "payload", "label")).alias(name))
         return cut.select("key", F.col("rank").alias(f"{name}_rank"), name)
 
-    pairs = blocks(ranked.where("rank < top"), OPEN_A_BLOCK, BLOCK_BYTES // 4, "open").join(blocks(ranked, ROWS_A_BLOCK, BLOCK_BYTES, "block"), "key")
+    pairs = blocks(ranked.where("rank < top"), "open").join(blocks(ranked, "block"), "key")
     pairs = pairs.where("open_rank < block_rank OR block_rank = 0 AND open_rank = 0").select("open", "block")
     return edges.unionByName(pairs.repartition(F.rand(1)).mapInArrow(lambda it: _open_blocks(it, compare), _EDGES))
 
@@ -282,7 +284,7 @@ def _token(j: int) -> str:
 
 
 def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
-    """Edges that connect all pairs that meet in a node and are alike by signature. reps: id, sig."""
+    """Edges, some repeated, that connect all pairs that meet in a node and are alike by signature. reps: id, sig."""
     roots = F.explode(F.array(*(F.struct(F.lit(t).alias("tree"), F.expr(f"xxhash64({t}, {_token(t)})").alias("key")) for t in range(TREES))))
     rows = reps.select("id", roots.alias("x")).select("id", "x.tree", "x.key", F.lit(1 << 62).alias("above"))
     leaves, dense = [], []
@@ -311,7 +313,7 @@ def candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
     edges = link_groups(small.join(sigs, "id").select("key", "id", "payload"), compare)
     if large.head(1):
         edges = edges.unionByName(link_large(large.join(sigs, "id").select("key", "id", "payload"), compare))
-    return edges.distinct()
+    return edges
 
 
 def _payloads(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from common import corpus, documents, empty, sentence
 
-from rooftide.llm import near_dedup
+from rooftide.llm import components, near_dedup
+from rooftide.llm._common import materialize
 from rooftide.llm.components import connected_components
 
 
@@ -148,3 +149,15 @@ def test_chain_of_versions_matches_brute_force(spark, monkeypatch):
     rows = list(enumerate(texts))
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
     assert got == brute(rows, 4)
+
+
+@pytest.mark.parametrize("limit", [0, 40, 1 << 17])
+def test_components_of_few_edges_take_one_task(spark, monkeypatch, limit):
+    """Whatever is left to one task, the components are the same; rounds of stars are only for more edges than that."""
+    monkeypatch.setattr(components, "EDGES_A_TASK", limit)
+    written = []
+    monkeypatch.setattr(components, "materialize", lambda df, tag: written.append(tag) or materialize(df, tag))
+    edges = [(i, i + 1) for i in range(60)] + [(i, 200) for i in range(201, 230)] + [(-5, 300), (300, 301), (7, 7)]
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 200 for i in range(200, 230)} | {-5: -5, 300: -5, 301: -5}
+    assert ("stars" in written) == (limit < len(edges))
