@@ -260,6 +260,30 @@ def test_directions_are_those_of_the_svd(monkeypatch):
     assert np.abs((v * right[:6].T).sum(axis=0)) == pytest.approx(np.ones(6), abs=1e-2)
 
 
+def test_directions_come_from_every_block(spark):
+    """The singular values are those of the blocks of all documents and items, more than any sample held."""
+    rng = random.Random(8)
+    names = ["".join(rng.choice("bcdfgklmnprstv") + rng.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    made = lambda own: " ".join(rng.choice(own) for _ in range(rng.randrange(10, 33)))
+    docs, items = [made(names) for _ in range(6000)], [made(names[:60]) for _ in range(20)]
+    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "text string")
+    index = decontaminate.fit(frame(docs), frame(items))
+
+    def rows(texts, share):
+        out = np.zeros((len(texts), decontaminate.FEATURES), np.float32)
+        for row, t in zip(out, texts, strict=True):
+            np.add.at(row, decontaminate.features_of(decontaminate.words_of([t.encode()])[0]), 1)
+        out *= index.idf
+        return out * np.sqrt(share) / np.linalg.norm(out, axis=1, keepdims=True)
+
+    seen = sum((x > 0).astype(int) for x in np.array_split(rows(docs, 1), 1)[0])
+    assert index.idf == pytest.approx(np.log(6001 / (1 + seen)) + 0.1, rel=1e-4)
+    v = index.weights.astype(np.float32) / index.idf[:, None]
+    lengths = sum(((rows(t, share) @ v) ** 2).sum(axis=0) for t, share in ((docs, len(items) / len(docs)), (items, 1)))
+    assert lengths.sum() == pytest.approx((index.values**2).sum(), rel=0.1)
+    assert lengths[0] == pytest.approx(index.values[0] ** 2, rel=0.02)
+
+
 def test_decontamination_matches_brute_force(spark, monkeypatch):
     """Whole results, long texts in parts: all pairs of documents and items, by subsequences of windows and of whole texts."""
     for name, value in {"WORDS_AT_ONCE": 64, "BLOCKS_AT_ONCE": 3, "COSINES_AT_ONCE": 40}.items():
